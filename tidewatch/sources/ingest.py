@@ -36,10 +36,11 @@ SYSCALL_RENAME = {"processId": "process_id", "threadId": "thread_id",
 SYSCALL_VARIANTS = ("main", "labelled_train", "labelled_val", "labelled_test")
 
 
-def read_csv_strings(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Header CSV, all columns as strings, multi-line quoted fields
-    allowed.  No schema inference: no extra pass over the files."""
-    return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def read_csv_strings(spark: SparkSession, path: str | Sequence[str], multiline: bool = False) -> DataFrame:
+    """Header CSV, all columns as strings.  No schema inference (no extra
+    pass over the files).  ``multiline`` accepts quoted newlines but makes
+    every file a single split, so it is off by default at scale."""
+    return (spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
             .option("inferSchema", False).option("mode", "PERMISSIVE").csv(path))
 
 
