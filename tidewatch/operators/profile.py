@@ -84,44 +84,93 @@ def finite_above(df: DataFrame, col: str, lower: float = -1.0) -> DataFrame:
     return df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))) & (x > lower))
 
 
-def _guarded_corr(x: Column, y: Column) -> Column:
-    """Pearson correlation over pair-wise complete rows; NULL instead of a
-    division by zero when either side is constant (trap T9)."""
-    both = x.isNotNull() & y.isNotNull()
-    xs, ys = F.when(both, x), F.when(both, y)
-    den = F.stddev_pop(xs) * F.stddev_pop(ys)
-    return F.when(den > 0, F.covar_pop(xs, ys) / den)
+def pairwise_corr(df: DataFrame, pairs: Sequence[tuple[str, str]], chunk: int = 90) -> dict:
+    """Pearson correlation of many column pairs from mean-centred
+    co-moment sums (two passes of plain sums, codegen-friendly).
+
+    Pass 1 gets counts and means; pass 2 sums centred products.  Without
+    nulls the per-column sums are shared; with nulls each pair is summed
+    over its pair-wise complete rows (shift-invariant formula, so the
+    global means remain valid shifts).  A constant side gives None
+    (trap T9).  Aggregates are chunked to stay within codegen limits; the
+    driver only receives O(pairs) scalars.
+    """
+    cols = sorted({c for p in pairs for c in p})
+    x = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    pre = df.agg(F.count(F.lit(1)).alias("_n"),
+                 *[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)],
+                 *[F.avg(x[c]).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    n = pre["_n"]
+    mu = {c: (pre[f"m{i}"] or 0.0) for i, c in enumerate(cols)}
+    has_null = any(pre[f"n{i}"] != n for i in range(len(cols)))
+    d = {c: x[c] - F.lit(mu[c]) for c in cols}
+
+    def run(exprs: list) -> dict:
+        out = {}
+        for i in range(0, len(exprs), chunk):
+            part = exprs[i:i + chunk]
+            out.update(df.agg(*part).first().asDict())
+        return out
+
+    res = {}
+    if not has_null:
+        exprs = [F.sum(d[c] * d[c]).alias(f"ss_{i}") for i, c in enumerate(cols)]
+        exprs += [F.sum(d[a] * d[b]).alias(f"sp_{k}") for k, (a, b) in enumerate(pairs)]
+        v = run(exprs)
+        ss = {c: v[f"ss_{i}"] for i, c in enumerate(cols)}
+        for k, (a, b) in enumerate(pairs):
+            den = (ss[a] or 0.0) * (ss[b] or 0.0)
+            res[(a, b)] = v[f"sp_{k}"] / den ** 0.5 if den > 0 else None
+        return res
+    exprs = []
+    for k, (a, b) in enumerate(pairs):
+        both = x[a].isNotNull() & x[b].isNotNull()
+        da, db = F.when(both, d[a]), F.when(both, d[b])
+        exprs += [F.count_if(both).alias(f"n_{k}"), F.sum(da).alias(f"sa_{k}"), F.sum(db).alias(f"sb_{k}"),
+                  F.sum(da * da).alias(f"saa_{k}"), F.sum(db * db).alias(f"sbb_{k}"),
+                  F.sum(da * db).alias(f"sab_{k}")]
+    v = run(exprs)
+    for k, (a, b) in enumerate(pairs):
+        m = v[f"n_{k}"]
+        if not m:
+            res[(a, b)] = None
+            continue
+        sa, sb = v[f"sa_{k}"], v[f"sb_{k}"]
+        caa = v[f"saa_{k}"] - sa * sa / m
+        cbb = v[f"sbb_{k}"] - sb * sb / m
+        cab = v[f"sab_{k}"] - sa * sb / m
+        res[(a, b)] = cab / (caa * cbb) ** 0.5 if caa > 0 and cbb > 0 else None
+    return res
 
 
 def leakage_scan(df: DataFrame, target: str, threshold: float = 0.95,
                  top: int | None = None, coerce: bool = False) -> DataFrame:
-    """|corr| of every numeric column with the target, one pass;
-    flag compares the unrounded value; NULL (constant) sorts last."""
+    """|corr| of every numeric column with the target; the flag
+    compares the unrounded value; NULL (constant) sorts last."""
     from .quality import numeric_columns
-    y = F.col(f"`{target}`").try_cast("double") if coerce else F.col(f"`{target}`").cast("double")
     cols = numeric_columns(df, exclude=[target])
-    wide = df.agg(*[F.abs(_guarded_corr(F.col(f"`{c}`").cast("double"), y)).alias(f"c{i}")
-                    for i, c in enumerate(cols)])
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("abs_corr"))
-                     for i, c in enumerate(cols)])
-    out = wide.select(F.inline(rows)).select(
+    d = df
+    if coerce:
+        d = df.withColumn(target, F.col(f"`{target}`").try_cast("double"))
+    r = pairwise_corr(d, [(c, target) for c in cols])
+    rows = [(c, None if r[(c, target)] is None else abs(r[(c, target)])) for c in cols]
+    out = df.sparkSession.createDataFrame(rows, "column_name string, abs_corr double").select(
         "column_name", "abs_corr", F.coalesce(F.col("abs_corr") > threshold, F.lit(False)).alias("leak_flag"))
     out = out.orderBy(F.desc_nulls_last("abs_corr"), "column_name")
     return out.limit(top) if top else out
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Full Pearson matrix in long form (col_a, col_b, corr), one pass
-    computing each unordered pair once."""
+    """Full Pearson matrix in long form (col_a, col_b, corr), each
+    unordered pair computed once."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    wide = df.agg(*[_guarded_corr(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double"))
-                    .alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
-    items = []
-    for k, (a, b) in enumerate(pairs):
-        items.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"p{k}").alias("corr")))
+    r = pairwise_corr(df, pairs)
+    rows = []
+    for a, b in pairs:
+        rows.append((a, b, r[(a, b)]))
         if a != b:
-            items.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), F.col(f"p{k}").alias("corr")))
-    return wide.select(F.inline(F.array(*items)))
+            rows.append((b, a, r[(a, b)]))
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
 
 
 def strong_pairs(df: DataFrame, cols: Sequence[str], threshold: float = 0.6, top: int = 10) -> DataFrame:

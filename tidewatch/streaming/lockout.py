@@ -35,33 +35,63 @@ OUT_SCHEMA = ("event_id long, user_id long, ts timestamp_ntz, ok boolean, outcom
 STATE_SCHEMA = "failed long, locked_until timestamp_ntz"
 
 
-def run_machine(pdf: pd.DataFrame, failed: int, locked_until) -> tuple[pd.DataFrame, int, object]:
-    """Apply the rule to one user's attempts (sorted by ts, then id)."""
-    pdf = pdf.sort_values(["ts", "event_id"], kind="mergesort")
-    lock = pd.Timestamp(locked_until) if locked_until is not None and not pd.isna(locked_until) else None
-    outcome, fails, locks = [], [], []
-    delta = pd.Timedelta(minutes=LOCKOUT_MINUTES)
-    for ts, ok in zip(pdf["ts"], pdf["ok"]):
-        ts = pd.Timestamp(ts)
-        if lock is not None and lock > ts:
-            outcome.append("locked")
-        elif ok:
+def _run(ts: np.ndarray, ok: np.ndarray, failed: int, lock):
+    """The rule over one user's attempts (already in time order).
+    ``ts`` / ``lock`` are int64 microseconds; returns per-attempt outcome
+    codes (0 success, 1 failure, 2 lockout, 3 locked), the counter and
+    lock after each attempt, and the final state."""
+    delta = LOCKOUT_MINUTES * 60 * 1_000_000
+    n = len(ts)
+    code = np.empty(n, dtype=np.int8)
+    fails = np.empty(n, dtype=np.int64)
+    locks = np.full(n, np.iinfo(np.int64).min, dtype=np.int64)
+    for i in range(n):
+        t = int(ts[i])
+        if lock is not None and lock > t:
+            code[i] = 3
+        elif ok[i]:
             failed, lock = 0, None
-            outcome.append("success")
+            code[i] = 0
         else:
             failed += 1
             if failed >= MAX_FAILED_ATTEMPTS:
-                lock = ts + delta
-                outcome.append("lockout")
+                lock = t + delta
+                code[i] = 2
             else:
-                outcome.append("failure")
-        fails.append(failed)
-        locks.append(lock)
-    out = pdf[["event_id", "user_id", "ts", "ok"]].copy()
-    out["outcome"] = outcome
-    out["failed_attempts"] = np.array(fails, dtype="int64")
-    out["locked_until"] = pd.Series(locks, index=out.index, dtype="datetime64[us]")
-    return out, failed, lock
+                code[i] = 1
+        fails[i] = failed
+        if lock is not None:
+            locks[i] = lock
+    return code, fails, locks, failed, lock
+
+
+_OUTCOMES = np.array(["success", "failure", "lockout", "locked"], dtype=object)
+_NOLOCK = np.iinfo(np.int64).min
+
+
+def _us(v) -> int | None:
+    if v is None or pd.isna(v):
+        return None
+    return int(np.datetime64(pd.Timestamp(v).to_datetime64(), "us").astype("int64"))
+
+
+def _frame(base: pd.DataFrame, code, fails, locks) -> pd.DataFrame:
+    out = base[["event_id", "user_id", "ts", "ok"]].reset_index(drop=True)
+    out["outcome"] = _OUTCOMES[code]
+    out["failed_attempts"] = fails
+    lk = pd.Series(locks.astype("datetime64[us]"))
+    out["locked_until"] = lk.where(locks != _NOLOCK, pd.NaT)
+    return out
+
+
+def run_machine(pdf: pd.DataFrame, failed: int, locked_until):
+    """One user's attempts in any order → outcome rows and final state."""
+    ts = pdf["ts"].to_numpy(dtype="datetime64[us]").astype("int64")
+    order = np.lexsort((pdf["event_id"].to_numpy(), ts))
+    code, fails, locks, failed, lock = _run(ts[order], pdf["ok"].to_numpy(dtype=bool)[order],
+                                            failed, _us(locked_until))
+    final = None if lock is None else pd.Timestamp(np.datetime64(lock, "us"))
+    return _frame(pdf.iloc[order], code, fails, locks), failed, final
 
 
 def _stateful(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
@@ -78,20 +108,54 @@ def lockouts_stream(attempts: DataFrame) -> DataFrame:
         _stateful, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
+def _partition_machine(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (user, ts, event_id) within the partition; a user's
+    rows are contiguous and may span Arrow batches, so the state of the
+    last user is carried into the next batch."""
+    carry_user, carry_failed, carry_lock = None, 0, None
+    for pdf in it:
+        if len(pdf) == 0:
+            continue
+        users = pdf["user_id"].to_numpy()
+        ts = pdf["ts"].to_numpy(dtype="datetime64[us]").astype("int64")
+        ok = pdf["ok"].to_numpy(dtype=bool)
+        f0 = pdf["failed"].to_numpy()
+        l0 = pdf["locked_until"]
+        starts = np.flatnonzero(np.r_[True, users[1:] != users[:-1]])
+        ends = np.r_[starts[1:], len(pdf)]
+        code = np.empty(len(pdf), dtype=np.int8)
+        fails = np.empty(len(pdf), dtype=np.int64)
+        locks = np.empty(len(pdf), dtype=np.int64)
+        for s, e in zip(starts, ends):
+            u = users[s]
+            if u == carry_user:
+                failed, lock = carry_failed, carry_lock
+            else:
+                failed = 0 if pd.isna(f0[s]) else int(f0[s])
+                lock = _us(l0.iloc[s])
+            c, fa, lk, failed, lock = _run(ts[s:e], ok[s:e], failed, lock)
+            code[s:e], fails[s:e], locks[s:e] = c, fa, lk
+            carry_user, carry_failed, carry_lock = u, failed, lock
+        yield _frame(pdf, code, fails, locks)
+
+
 def _ntz(t: pd.Timestamp):
     """A naive timestamp literal independent of the session time zone."""
     return F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
-def lockouts_batch(attempts: DataFrame, epochs: int = 8) -> DataFrame:
-    """Batch twin over ``epochs`` equal event-time slices."""
+def lockouts_batch(attempts: DataFrame, epochs: int = 4) -> DataFrame:
+    """Batch twin over ``epochs`` equal event-time slices.  Within an
+    epoch the attempts are hash-partitioned by user and sorted by (user,
+    time); a vectorised pass per partition applies the rule."""
     spark = attempts.sparkSession
     b = attempts.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     if b["lo"] is None:
         return spark.createDataFrame([], OUT_SCHEMA)
     lo, hi = pd.Timestamp(b["lo"]), pd.Timestamp(b["hi"])
-    span = (hi - lo) / epochs if epochs > 1 else (hi - lo)
+    span = (hi - lo) / epochs
     edges = [lo + span * i for i in range(1, epochs)]
+    n_part = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     state = spark.createDataFrame([], "user_id long, failed long, locked_until timestamp_ntz")
     outs = []
     for e in range(epochs):
@@ -100,22 +164,15 @@ def lockouts_batch(attempts: DataFrame, epochs: int = 8) -> DataFrame:
             cond = cond & (F.col("ts") >= _ntz(edges[e - 1]))
         if e < epochs - 1:
             cond = cond & (F.col("ts") < _ntz(edges[e]))
-        part = attempts.where(cond).join(state, "user_id", "left")
-
-        def step(pdf: pd.DataFrame) -> pd.DataFrame:
-            f0 = pdf["failed"].iloc[0]
-            l0 = pdf["locked_until"].iloc[0]
-            out, f, lk = run_machine(pdf, 0 if pd.isna(f0) else int(f0), l0)
-            out["_final_failed"] = f
-            out["_final_lock"] = pd.Series([lk] * len(out), index=out.index, dtype="datetime64[us]")
-            return out
-        res = part.groupBy("user_id").applyInPandas(
-            step, OUT_SCHEMA + ", _final_failed long, _final_lock timestamp_ntz").checkpoint()
-        outs.append(res.drop("_final_failed", "_final_lock"))
-        new_state = res.groupBy("user_id").agg(F.first("_final_failed").alias("failed"),
-                                               F.first("_final_lock").alias("locked_until"))
-        state = (state.join(new_state.select("user_id"), "user_id", "left_anti")
-                 .unionByName(new_state)).checkpoint()
+        part = (attempts.where(cond).join(state, "user_id", "left")
+                .repartition(n_part, "user_id").sortWithinPartitions("user_id", "ts", "event_id"))
+        res = part.mapInPandas(_partition_machine, OUT_SCHEMA).checkpoint()
+        outs.append(res)
+        last = res.groupBy("user_id").agg(
+            F.max_by(F.struct("failed_attempts", "locked_until"), F.struct("ts", "event_id")).alias("s"))
+        last = last.select("user_id", F.col("s.failed_attempts").alias("failed"),
+                           F.col("s.locked_until").alias("locked_until"))
+        state = state.join(last.select("user_id"), "user_id", "left_anti").unionByName(last).checkpoint()
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)
