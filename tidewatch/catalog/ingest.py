@@ -92,7 +92,7 @@ GROUP BY dataset_name""", "model_runs", "users"))
 def q_erase(spark, sf):
     users = A.users(spark, sf)
     gone = users.where((F.col("role") == "viewer") & ~F.col("is_active")).select(F.col("id").alias("created_by"))
-    kept = G.erase_subject(A.model_runs(spark, sf), gone, "created_by")
+    kept = G.erase_subject(A.model_runs(spark, sf), gone, "created_by", subjects=users, subject_key="id")
     return kept.groupBy("dataset_name").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -195,8 +195,9 @@ def build_preprocessor(numeric: Sequence[str], categorical: Sequence[str], scale
         ohe_out = [c + "__ohe" for c in categorical]
         stages.append(StringIndexer(inputCols=[c + sfx for c in categorical], outputCols=idx_out,
                                     stringOrderType="alphabetAsc", handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=idx_out, outputCols=ohe_out, dropLast=True,
-                                    handleInvalid="keep"))
+        # the indexer's "unknown" index is the last slot, which dropLast
+        # removes; the encoder itself must not add another one
+        stages.append(OneHotEncoder(inputCols=idx_out, outputCols=ohe_out, dropLast=True))
         vec_inputs += ohe_out
     stages.append(VectorAssembler(inputCols=vec_inputs, outputCol=output, handleInvalid="keep"))
     return Pipeline(stages=stages)

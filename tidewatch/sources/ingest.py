@@ -254,11 +254,18 @@ def alerts_from_predictions(preds: DataFrame, source_dataset: str) -> DataFrame:
         F.col("predicted_at").alias("created_at"))
 
 
-def erase_subject(table: DataFrame, erase: DataFrame, key: str) -> DataFrame:
+def erase_subject(table: DataFrame, erase: DataFrame, key: str,
+                  subjects: DataFrame | None = None, subject_key: str | None = None) -> DataFrame:
     """Drop every row of the subjects in ``erase``; raises when none
-    of them exists (checked with a semi-join, not a collect)."""
-    if table.join(erase.select(key), key, "left_semi").isEmpty():
-        raise KeyError("no row matches the subjects to erase")
+    of the subjects exists — in the subject dimension when given, else in
+    ``table`` (checked with a semi-join, not a collect)."""
+    if subjects is not None:
+        sk = subject_key or key
+        probe = erase.select(F.col(key).alias(sk)).join(subjects.select(sk), sk, "left_semi")
+    else:
+        probe = table.join(erase.select(key), key, "left_semi")
+    if probe.isEmpty():
+        raise KeyError("no such subject to erase")
     return table.join(erase.select(key).distinct(), key, "left_anti")
 
 
