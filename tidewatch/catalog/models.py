@@ -151,3 +151,37 @@ def q_pca_2d(spark, sf):
     m = FE.fit_pca(ne.where("split = 'train'"), cols, k=2)
     return FE.pca_projection(m, ne.where("split = 'test'")).select("label", "pc1", "pc2")
 
+
+
+@register("stratified_split_counts", "C20", """
+WITH ne AS (SELECT CASE WHEN l_discount > 0.045 THEN p_type ELSE 'Normal' END AS attack_cat
+            FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT attack_cat, COUNT(*) - CAST(floor(0.3 * COUNT(*) + 0.5) AS BIGINT) AS n_train,
+       CAST(floor(0.3 * COUNT(*) + 0.5) AS BIGINT) AS n_test
+FROM ne GROUP BY attack_cat""")
+def q_stratified(spark, sf):
+    from pyspark.sql import functions as F
+    ne = A.network_events(spark, sf)
+    tr, te = S.stratified_split(ne, "attack_cat", 0.3)
+    a = tr.groupBy("attack_cat").agg(F.count(F.lit(1)).alias("n_train"))
+    b = te.groupBy("attack_cat").agg(F.count(F.lit(1)).alias("n_test"))
+    return a.join(b, "attack_cat", "full_outer").na.fill(0)
+
+
+@register("attack_type_models", "J11 J12 J13 J14 L3 L5 C20")
+def q_attack_models(spark, sf):
+    ne = A.network_events(spark, sf).where("label = 1")
+    num = ["dur", "sbytes", "dbytes", "sttl", "dttl", "spkts", "dpkts"]
+    return S.multiclass_suite(ne, "attack_cat", num, ["proto", "service", "state"],
+                              overrides={"rf": CHECK_TREES, "gbt": {"maxIter": 10, "maxDepth": 4},
+                                         "lr": {"maxIter": 100}})
+
+
+@register("training_job_run", "J15 B6 B10 L9 M1")
+def q_training_job(spark, sf):
+    import os
+    import uuid
+    from ..session import scratch_path
+    ne = A.network_events(spark, sf)
+    out = os.path.join(scratch_path(spark, "models"), uuid.uuid4().hex)
+    return S.training_job(ne, out, stage1_overrides=CHECK_TREES, stage2_overrides=CHECK_TREES, n_boot=200)

@@ -229,3 +229,92 @@ def cross_val_auc(df: DataFrame, label: str = "label", k: int = 3, stage1: str =
     mu = sum(aucs) / k
     sd = (sum((a - mu) ** 2 for a in aucs) / k) ** 0.5
     return mu, sd
+
+
+def stratified_split(df: DataFrame, label: str, test_frac: float, seed: int = SEED):
+    """C20: exact stratified split — round(frac · n_c) test rows per class,
+    chosen by a seeded hash rank within the class (no single-task window,
+    no approximate ``sampleBy``).  Returns (train, test)."""
+    key = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    r = hash_rank(df, key, [label], seed=seed)
+    k = F.floor(F.lit(float(test_frac)) * F.col("_group_n") + F.lit(0.5))
+    r = r.withColumn("_test", F.col("_rank") <= k)
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    return r.where(~F.col("_test")).select(*cols), r.where(F.col("_test")).select(*cols)
+
+
+def _multiclass_estimator(name: str, overrides: dict | None = None):
+    p = overrides or {}
+    if name == "lr":
+        return LogisticRegression(maxIter=p.get("maxIter", 2000), featuresCol="features", labelCol="_t",
+                                  family="multinomial")
+    if name == "rf":
+        return RandomForestClassifier(numTrees=p.get("numTrees", 300), maxDepth=min(p.get("maxDepth", 30), 30),
+                                      seed=SEED, featuresCol="features", labelCol="_t")
+    if name == "gbt":
+        return OneVsRest(classifier=GBTClassifier(maxIter=p.get("maxIter", 200), maxDepth=p.get("maxDepth", 6),
+                                                  stepSize=p.get("stepSize", 0.05), seed=SEED),
+                         featuresCol="features", labelCol="_t")
+    raise ValueError(f"unknown model {name!r}")
+
+
+def multiclass_suite(df: DataFrame, label: str, numeric, categorical, models=("lr", "rf", "gbt"),
+                     test_frac: float = 0.3, overrides: dict | None = None) -> DataFrame:
+    """Fit each classifier on a stratified split and report
+    accuracy, macro / weighted F1 and macro one-vs-rest AUC (NULL when
+    undefined, e.g. one-vs-rest boosting has no joint probabilities)."""
+    from .metrics import class_report
+    from .resample import macro_ovr_auc
+    train, test = stratified_split(df, label, test_frac)
+    pre = FE.build_preprocessor(numeric, categorical).fit(train)
+    idx = StringIndexer(inputCol=label, outputCol="_t", stringOrderType="alphabetAsc",
+                        handleInvalid="skip").fit(train)
+    tr = idx.transform(pre.transform(train)).persist()
+    te = idx.transform(pre.transform(test)).persist()
+    rows = []
+    for name in models:
+        m = _multiclass_estimator(name, (overrides or {}).get(name)).fit(tr)
+        s = m.transform(te)
+        rep = {r["cls"]: r for r in class_report(s, "_t", "prediction").collect()}
+        acc = s.agg(F.avg((F.col("_t") == F.col("prediction")).cast("double"))).first()[0]
+        auc = None
+        if "probability" in s.columns:
+            auc = macro_ovr_auc(s.withColumn("_p", vector_to_array("probability")), "_t", "_p",
+                                [float(i) for i in range(len(idx.labels))])
+        rows.append((name, float(acc), float(rep["macro avg"]["f1"]), float(rep["weighted avg"]["f1"]),
+                     auc, tr.count(), te.count()))
+    tr.unpersist()
+    te.unpersist()
+    return df.sparkSession.createDataFrame(
+        rows, "model string, accuracy double, f1_macro double, f1_weighted double, roc_auc_ovr double, "
+              "n_train long, n_test long")
+
+
+def training_job(df: DataFrame, out_dir: str, stage1: str = "rf", stage1_overrides: dict | None = None,
+                 stage2_overrides: dict | None = None, n_boot: int = 1000) -> DataFrame:
+    """Validate (abort on errors) → features → two-stage fit → evaluate
+    with a bootstrap AUC CI → save the model → one ``model_runs`` row (B6)."""
+    import time as _time
+    from ..sources.ingest import run_record
+    from .quality import report_status, validate_flows
+    from .resample import bootstrap_ci
+    train, test = df.where("split = 'train'"), df.where("split = 'test'")
+    status = report_status(validate_flows(train, "train")).first()
+    if status is not None and not status["passed"]:
+        raise ValueError("validation failed: the training data has errors")
+    t0 = _time.time()
+    model = fit_two_stage(train, stage1=stage1, stage1_overrides=stage1_overrides,
+                          stage2_overrides=stage2_overrides)
+    duration = _time.time() - t0
+    scored = model.predict(test).persist()
+    ev = binary_metrics(scored, "label", "is_attack").first()
+    auc = roc_auc(scored, "label", "attack_probability").first()["roc_auc"]
+    ci = bootstrap_ci(scored, "label", "attack_probability", "roc_auc", n_boot=n_boot).first()
+    scored.unpersist()
+    model.save(out_dir)
+    metrics = {"accuracy": ev["accuracy"], "roc_auc": auc, "f1_weighted": ev["f1_weighted"],
+               "f1_macro": ev["f1_macro"], "precision": ev["precision"], "recall": ev["recall"],
+               "roc_auc_ci": {"lower": ci["lower"], "upper": ci["upper"]}}
+    hp = {"stage1": stage1, **STAGE1_PARAMS[stage1], **(stage1_overrides or {})}
+    return run_record(df.sparkSession, f"two_stage_{stage1}", "supervised", "flows", f"two_stage_{stage1}",
+                      hp, metrics, duration, notes=out_dir)
