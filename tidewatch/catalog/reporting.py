@@ -234,3 +234,21 @@ def q_sql_text(spark, sf):
     A.register_views(spark, sf, ["network_events"])
     return spark.sql("SELECT proto, COUNT(*) AS n, CAST(SUM(label) AS BIGINT) AS attacks "
                      "FROM network_events GROUP BY proto")
+
+
+@register("prediction_provenance", "D2 D5 B8", A.with_views("""
+SELECT r.algorithm, r.dataset_name, s.evil, p.predicted_label, COUNT(*) AS n
+FROM (SELECT record_id AS source_record_id, 'system_call_events' AS event_source, sus AS predicted_label,
+             (SELECT MAX(id) FROM model_runs) AS model_run_id FROM system_call_events) p
+LEFT JOIN model_runs r ON p.model_run_id = r.id
+LEFT JOIN system_call_events s ON p.source_record_id = s.record_id
+GROUP BY 1, 2, 3, 4""", "system_call_events", "model_runs"))
+def q_prediction_provenance(spark, sf):
+    sc, mr = A.system_call_events(spark, sf), A.model_runs(spark, sf)
+    latest = mr.agg(F.max("id")).scalar()
+    preds = sc.select(F.col("record_id").alias("source_record_id"),
+                      F.lit("system_call_events").alias("event_source"),
+                      F.col("sus").alias("predicted_label"), latest.alias("model_run_id"))
+    ctx = R.predictions_with_context(preds, mr, {"system_call_events": (sc.select("record_id", "evil"),
+                                                                        "record_id")})
+    return ctx.groupBy("algorithm", "dataset_name", "evil", "predicted_label").agg(F.count(F.lit(1)).alias("n"))

@@ -200,3 +200,22 @@ def experiment_comparison(runs: DataFrame, dataset: str) -> DataFrame:
     best = r.agg(F.max("f1_weighted")).scalar()
     return r.select("id", "algorithm", "model_type", "f1_weighted", "accuracy",
                     (F.col("f1_weighted") == best).alias("is_best"))
+
+
+def predictions_with_context(preds: DataFrame, runs: DataFrame, sources: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """D2 + D5: predictions with their model run (left equi-join) and with
+    their source event through the loose key (event_source,
+    source_record_id): one equi-join per source, unioned.  Predictions of
+    an unknown source keep NULL source columns."""
+    r = runs.select(F.col("id").alias("model_run_id"), "algorithm", "dataset_name")
+    p = preds.join(r, "model_run_id", "left")
+    parts = []
+    for name, (src, key) in sources.items():
+        s = src.withColumnRenamed(key, "source_record_id")
+        parts.append(p.where(F.col("event_source") == name).join(s, "source_record_id", "left"))
+    known = list(sources)
+    rest = p.where(~F.col("event_source").isin(known) | F.col("event_source").isNull())
+    out = parts[0]
+    for q in parts[1:]:
+        out = out.unionByName(q, allowMissingColumns=True)
+    return out.unionByName(rest, allowMissingColumns=True)
