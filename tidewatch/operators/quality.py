@@ -106,12 +106,25 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 def cardinality(df: DataFrame, cols: Sequence[str] | None = None,
                 high_threshold: int = 50) -> DataFrame:
     """Distinct values per column, with and without
-    null, constant / high-cardinality flags."""
+    null, constant / high-cardinality flags.
+
+    Columns are melted into (column, value) pairs — numeric columns as
+    doubles (so −0.0 and 0.0 group together, as in ``count(DISTINCT)``),
+    the rest as strings — and de-duplicated with one map-side combined
+    aggregate, instead of one ``count_distinct`` expansion per column."""
     cols = list(cols or df.columns)
-    prof = per_column(df, cols, {
-        "n_distinct": lambda c: F.count_distinct(c),
-        "has_null": lambda c: F.max(c.isNull().cast("int")),
-    })
+    num = [c for c in cols if isinstance(df.schema[c].dataType, NumericType)]
+    oth = [c for c in cols if c not in num]
+    parts = []
+    for group, typ in ((num, "double"), (oth, "string")):
+        if not group:
+            continue
+        arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast(typ).alias("v"))
+                        for c in group])
+        d = df.select(F.inline(arr)).groupBy("column_name", "v").agg(F.lit(1).alias("_x"))
+        parts.append(d.groupBy("column_name").agg(F.count("v").alias("n_distinct"),
+                                                  F.max(F.col("v").isNull().cast("int")).alias("has_null")))
+    prof = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     dn = F.col("n_distinct") + F.coalesce(F.col("has_null"), F.lit(0))
     return prof.select("column_name", "n_distinct", dn.alias("n_distinct_with_null"),
                        (F.col("n_distinct") <= 1).alias("is_constant"),
