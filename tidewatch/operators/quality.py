@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
@@ -80,8 +80,9 @@ def class_balance(df: DataFrame, col: str, keep_null: bool = False,
     rounded half-up to ``digits`` (×100 when ``percent``)."""
     d = df if keep_null else df.where(F.col(col).isNotNull())
     g = d.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    # classes are few; the total is a sum over the grouped rows
-    tot = F.sum("count").over(Window.partitionBy())
+    # the total is a scalar sub-query over the grouped rows (not a global
+    # window: the column may have unboundedly many distinct values)
+    tot = g.agg(F.sum("count")).scalar()
     out = g.select(F.col(col).alias("value"), "count",
                    round_ratio(F.col("count"), tot, digits, scale=100 if percent else 1).alias("share"))
     if top_n:

@@ -10,7 +10,7 @@ number of categories.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import json_double, round_ratio, severity_rank
@@ -19,8 +19,8 @@ from ..functions.scalar import json_double, round_ratio, severity_rank
 def attack_distribution(events: DataFrame) -> DataFrame:
     """E5/F1: attack categories with percent of all attacks (2 dp)."""
     g = events.where(F.col("label") == 1).groupBy("attack_cat").agg(F.count(F.lit(1)).alias("total"))
-    # window over the grouped rows (one per category), not over events
-    tot = F.sum("total").over(Window.partitionBy())
+    # total as a scalar sub-query over the grouped rows (no global window)
+    tot = g.agg(F.sum("total")).scalar()
     return g.select("attack_cat", "total", round_ratio(F.col("total"), tot, 2, scale=100).alias("pct"))
 
 
