@@ -10,6 +10,9 @@ import __spark_entry__ as E
 from tidewatch.sources.tables import TABLES
 
 SQL = E.oracle_sql()
+# Spark simple type → DuckDB type name of the same values
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+         "date": "DATE", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT", "array<string>": "VARCHAR[]"}
 
 
 def _norm(v):
@@ -45,6 +48,8 @@ def test_query_matches_oracle(spark, sf, duck, name):
     ocols = [d[0] for d in cur.description]
     orows = cur.fetchall()
     assert sorted(df.columns) == sorted(ocols)
+    duck_types = dict(zip(ocols, [str(t) for t in duck.sql(SQL[name]).types]))
+    assert {c: TYPES.get(t, t) for c, t in df.dtypes} == duck_types
     assert len(rows) == len(orows)
     assert _canon(rows, df.columns) == _canon(orows, ocols)
 

@@ -27,8 +27,8 @@ NE, SC = "network_events", "system_call_events"
 
 
 @register("syscall_csv_ingest", "A2 A5 B2 C7 C8", A.with_views("""
-SELECT split, COUNT(*) AS n, SUM(event_id) AS sum_event_id, SUM(evil) AS n_evil,
-       SUM(return_value) AS sum_return_value
+SELECT split, COUNT(*) AS n, CAST(SUM(event_id) AS BIGINT) AS sum_event_id, CAST(SUM(evil) AS BIGINT) AS n_evil,
+       CAST(SUM(return_value) AS BIGINT) AS sum_return_value
 FROM system_call_events GROUP BY split""", SC))
 def q_syscall_ingest(spark, sf):
     sc = A.system_call_events(spark, sf)
@@ -87,7 +87,7 @@ def q_flow_validity(spark, sf):
 
 @register("alert_descriptions", "H12 H14 H15 H19", A.with_views("""
 SELECT band, COUNT(*) AS n, COUNT(*) FILTER (WHERE contains(lower(description), 'critical')) AS n_critical_text,
-       MIN(day) AS first_day, MAX(length(description)) AS max_len
+       MIN(day) AS first_day, CAST(MAX(length(description)) AS INTEGER) AS max_len
 FROM (SELECT CASE WHEN confidence * 100 < 40 THEN 'low' WHEN confidence * 100 < 70 THEN 'medium' ELSE 'high' END AS band,
              printf('%s alert: threat detected with %d%% confidence.', upper(severity),
                     CAST(floor(confidence * 100) AS BIGINT)) AS description,

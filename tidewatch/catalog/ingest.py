@@ -36,9 +36,9 @@ def _raw_flow_csvs(spark, sf):
 
 
 @register("csv_flow_ingest", "A1 A8 B1 C1 C2 H1 H2 H3 T6", A.with_views("""
-SELECT split, COUNT(*) AS n_rows, SUM(sbytes) AS sum_sbytes, SUM(dur) AS sum_dur,
-       COUNT(DISTINCT attack_cat) AS n_attack_cat, MAX(length(service)) AS max_service_len,
-       SUM(label) AS n_attacks
+SELECT split, COUNT(*) AS n_rows, CAST(SUM(sbytes) AS BIGINT) AS sum_sbytes, SUM(dur) AS sum_dur,
+       COUNT(DISTINCT attack_cat) AS n_attack_cat, CAST(MAX(length(service)) AS INTEGER) AS max_service_len,
+       CAST(SUM(label) AS BIGINT) AS n_attacks
 FROM network_events GROUP BY split""", NE))
 def q_csv_flow_ingest(spark, sf):
     paths, _ = _raw_flow_csvs(spark, sf)

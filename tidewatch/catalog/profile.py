@@ -58,7 +58,7 @@ def q_outlier_share(spark, sf):
 
 
 @register("below_p99_sbytes", "C12", A.with_views("""
-SELECT label, COUNT(*) AS n, SUM(sbytes) AS sum_sbytes FROM network_events
+SELECT label, COUNT(*) AS n, CAST(SUM(sbytes) AS BIGINT) AS sum_sbytes FROM network_events
 WHERE sbytes <= (SELECT quantile_cont(CAST(sbytes AS DOUBLE), 0.99) FROM network_events)
 GROUP BY label""", NE))
 def q_below_p99(spark, sf):
