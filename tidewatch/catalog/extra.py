@@ -50,7 +50,7 @@ def q_syscall_ingest(spark, sf):
                                   F.sum("evil").alias("n_evil"), F.sum("return_value").alias("sum_return_value"))
 
 
-# fixed leakage list of the attack notebook: identifiers and targets never used as features
+# flow targets, row id and split are never features of the live projection
 _LEAKY = ["label", "attack_cat", "id", "split"]
 
 
@@ -160,7 +160,7 @@ SELECT "Attack Type" AS value, COUNT(*) AS count,
 FROM attack_log GROUP BY 1""")
 def q_attack_share(spark, sf):
     al = _attack_log(spark, sf)
-    FE.attack_columns(al, "expanded")      # I13: the named feature set resolves on this frame
+    FE.attack_columns(al, "with_leakage")      # I13: the named feature set resolves on this frame
     return Q.class_balance(al, "Attack Type", digits=1, percent=True)
 
 

@@ -41,18 +41,18 @@ FLOW_ID_COLS = ["id"]
 # The ten live flow fields used by the two-stage detector.
 LIVE_FEATURE_COLS = ["proto", "service", "state", "dur", "sbytes", "dbytes", "sttl", "dttl",
                      "spkts", "dpkts"]
-# System-call id columns excluded from the class preprocessor (trap T27).
+# System-call identifier columns dropped by the class preprocessor (fixed values, stored
+# snake_case names of processId, threadId, parentProcessId, userId, mountNamespace,
+# returnValue, argsNum, processName, hostName; trap T27).
 SYSCALL_ID_COLS = ["process_id", "thread_id", "parent_process_id", "user_id", "mount_namespace",
-                   "record_id", "timestamp", "process_name", "host_name"]
+                   "return_value", "args_num", "process_name", "host_name"]
 SYSCALL_TARGETS = ["evil", "sus"]
-# Attack-log feature sets (names as in the source CSV).
+# Attack-log feature sets (fixed values: names and columns as in the source CSV).
 ATTACK_FEATURE_SETS = {
-    "baseline": ["Protocol", "Packet Length", "Packet Type", "Traffic Type", "Anomaly Scores",
-                 "Action Taken", "Severity Level", "Malware Indicators"],
-    "expanded": ["Source Port", "Destination Port", "Protocol", "Packet Length", "Packet Type",
-                 "Traffic Type", "Anomaly Scores", "Action Taken", "Severity Level",
-                 "Malware Indicators", "Alerts/Warnings", "Firewall Logs", "IDS/IPS Alerts",
-                 "Log Source", "Network Segment"],
+    "metadata_only": ["Destination Port", "Protocol", "Packet Length", "Packet Type", "Traffic Type",
+                      "Anomaly Scores", "Action Taken"],
+    "with_leakage": ["Destination Port", "Protocol", "Packet Length", "Packet Type", "Traffic Type",
+                     "Anomaly Scores", "Action Taken", "Severity Level", "Malware Indicators"],
 }
 MISSING_NUMERIC_DEFAULT = 0.0
 MISSING_CATEGORY_DEFAULT = "-"
@@ -221,7 +221,8 @@ def syscall_columns(df: DataFrame, feature_set: str = "class") -> list[str]:
     """``class`` drops the id columns; ``notebook`` keeps exactly
     the ids and counters the notebook used."""
     if feature_set == "class":
-        return _numeric(df, set(SYSCALL_ID_COLS) | set(SYSCALL_TARGETS) | {"split"})
+        # record_id is the stored row key, not a feature
+        return _numeric(df, set(SYSCALL_ID_COLS) | set(SYSCALL_TARGETS) | {"split", "record_id"})
     if feature_set == "notebook":
         wanted = ["process_id", "thread_id", "parent_process_id", "user_id", "mount_namespace",
                   "event_id", "args_num", "return_value"]
@@ -229,7 +230,7 @@ def syscall_columns(df: DataFrame, feature_set: str = "class") -> list[str]:
     raise ValueError(f"unknown syscall feature set {feature_set!r}")
 
 
-def attack_columns(df: DataFrame, feature_set: str = "baseline") -> tuple[list[str], list[str]]:
+def attack_columns(df: DataFrame, feature_set: str = "metadata_only") -> tuple[list[str], list[str]]:
     """Present columns of a named set, split by dtype; errors on an
     unknown set or when none of its columns exist."""
     if feature_set not in ATTACK_FEATURE_SETS:

@@ -25,9 +25,16 @@ SYSCALL_NUMERIC = ("process_id", "thread_id", "parent_process_id", "user_id", "m
                    "event_id", "args_num", "return_value")
 ATTACK_TARGET = "Attack Type"
 ATTACK_CLASSES = ("DDoS", "Intrusion", "Malware")
-# Column-name keywords that mark a column as a possible leakage / identity risk.
-RISK_KEYWORDS = ("label", "attack", "evil", "sus", "target", "class", "id", "ip", "time",
-                 "timestamp", "port", "user", "host", "name")
+# Column-name keywords that mark a column as a possible leakage / identity risk (fixed values).
+RISK_KEYWORDS = ("id", "time", "timestamp", "ip", "address", "payload", "log", "signature", "alert",
+                 "warning", "user", "device", "geo", "proxy")
+# Attack-log columns that leak the answer or give an unrealistic advantage (fixed values).
+ATTACK_LEAKAGE_COLS = ("Payload Data", "Malware Indicators", "Alerts/Warnings", "Attack Signature",
+                       "Firewall Logs", "IDS/IPS Alerts", "Geo-location Data", "Proxy Information",
+                       "User Information", "Device Information", "Log Source", "Timestamp",
+                       "Source IP Address", "Destination IP Address")
+# Columns dropped for the expanded-feature experiment (fixed values).
+ATTACK_EXPERIMENT_DROP = ("Source IP Address", "Destination IP Address", "Timestamp")
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
