@@ -143,7 +143,7 @@ def q_iforest_report(spark, sf):
     return C.metric_row(scored, "isolation_forest", "sus", "is_anomaly", "anomaly_score")
 
 
-@register("pca_projection_2d", "I16 I17 F3")
+@register("pca_projection_2d", "I16")
 def q_pca_2d(spark, sf):
     ne = A.network_events(spark, sf)
     from ..operators.quality import numeric_columns
@@ -185,3 +185,14 @@ def q_training_job(spark, sf):
     ne = A.network_events(spark, sf)
     out = os.path.join(scratch_path(spark, "models"), uuid.uuid4().hex)
     return S.training_job(ne, out, stage1_overrides=CHECK_TREES, stage2_overrides=CHECK_TREES, n_boot=200)
+
+
+@register("pca_spectrum", "I17 F3")
+def q_pca_spectrum(spark, sf):
+    """Explained-variance ratio per component of the standardised flow
+    columns, with the cumulative share (d rows)."""
+    ne = A.network_events(spark, sf)
+    from ..operators.quality import numeric_columns
+    cols = numeric_columns(ne, exclude=["label"])
+    m = FE.fit_pca(ne, cols, k=len(cols))
+    return spark.createDataFrame(FE.pca_spectrum(m), "component int, ratio double, cumulative double")
