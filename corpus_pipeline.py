@@ -1,16 +1,64 @@
-"""The training-data pipeline: each stage calls one operator of ``tidewatch.llm``."""
+"""The training-data pipeline: each stage calls one operator of ``tidewatch.llm``.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run` writes it as Parquet in
+the shared scratch folder and reads it again as the next stage's docs.  All stages but the last return the
+columns of ``documents``; the last returns the mix: one row per document with the words taken from it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewatch.llm.common import materialise, table
+from tidewatch.llm.decontaminate import decontaminate
+from tidewatch.llm.jaccard_join import one_of_each
+from tidewatch.llm.mixing import mix_sources
+from tidewatch.llm.quality_crf import score_quality
+from tidewatch.llm.zstd_secrets import scan_secrets
+
+
+def _others(docs: DataFrame) -> tuple[str, ...]:
+    return tuple(c for c in docs.columns if c != "doc_id")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line model rejects go."""
+    scored = score_quality(spark, docs, table(spark, sf_dir, "labels"), keep=_others(docs))
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return one_of_each(spark, docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window go."""
+    found = decontaminate(spark, docs, table(spark, sf_dir, "benchmark"), keep=_others(docs))
+    return found.where("not contaminated").select(*docs.columns)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the text; n_chars is counted anew."""
+    found = scan_secrets(spark, docs, with_redacted=True, keep=tuple(c for c in _others(docs) if c != "text"))
+    return (found.withColumn("text", F.col("redacted")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+            .select(*docs.columns))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of the mix, with the words taken from each."""
+    return mix_sources(spark, docs).where("taken > 0")
+
 
-STAGES: list = []
+STAGES = [("quality_classifier", quality_classifier), ("ngram_jaccard_join", ngram_jaccard_join),
+          ("benchmark_decontamination", benchmark_decontamination), ("secret_scans", secret_scans), ("source_mixing", source_mixing)]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # classifier and components are not SQL; tests/llm/test_pipeline.py holds every stage against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

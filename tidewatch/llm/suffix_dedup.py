@@ -33,42 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, prepare, utf8
+from .hashing import PrefixHash
 
 GRAM = 32  # bytes of an anchor k-gram
 PIECE = 1 << 20  # window starts per numpy block
 SHARD_BYTES = 4 << 20  # segment text per suffix-array shard
 SPREAD_CLASSES = 4096  # distinct contexts above which a k-gram value is spread over shards
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_TABLE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Finalising bit mixer; keeps equality."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Prefixes:
-    """Polynomial prefix hashes of one byte block: hash of any slice in O(1)."""
-
-    def __init__(self, data: np.ndarray):
-        n = len(data)
-        power = np.full(n + 1, _BASE, np.uint64)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLE[data] * power[:n], out=self.sums[1:])
-        inverse = np.full(n + 1, _BASE_INV, np.uint64)
-        inverse[0] = 1
-        self.inverse = np.multiply.accumulate(inverse)
-
-    def hash(self, start, end) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * self.inverse[start])
-
-
 def block_anchors(data: np.ndarray, ends: np.ndarray, width: int, gram: int) -> dict[str, np.ndarray]:
     """Anchor segments of concatenated pieces that end at ``ends``: ``start`` of
     the first window, ``windows`` in the run, ``off`` from start to anchor,
@@ -81,9 +52,9 @@ def block_anchors(data: np.ndarray, ends: np.ndarray, width: int, gram: int) ->
     np.add.at(ok, ends[fits] - width + 1, -1)
     if not fits.any():
         return {k: np.zeros(0, np.int64) for k in ("start", "windows", "off", "h", "fp")}
-    pre = _Prefixes(data)
+    pre = PrefixHash(data)
     at = np.arange(n - gram + 1)
-    value = pre.hash(at, at + gram)
+    value = pre.slices(at, at + gram)
     packed = (value & ~np.uint64(0xFFFFFF)) | at.astype(np.uint64)  # blocks are < 2^24 bytes
     span, size = width - gram + 1, 1
     least = packed
@@ -98,7 +69,7 @@ def block_anchors(data: np.ndarray, ends: np.ndarray, width: int, gram: int) ->
     windows = np.diff(np.r_[first, len(starts)])
     start, anchor = starts[first], anchor[first]
     return {"start": start, "windows": windows, "off": anchor - start, "h": value[anchor].view(np.int64),
-            "fp": pre.hash(start, start + windows - 1 + width).view(np.int64)}
+            "fp": pre.slices(start, start + windows - 1 + width).view(np.int64)}
 
 
 def _anchor_rows(batches: Iterator[pd.DataFrame], width: int, gram: int) -> Iterator[pd.DataFrame]:
@@ -241,8 +212,8 @@ def _window_names(bodies: list[bytes], off: np.ndarray, windows: np.ndarray, wid
     first = np.r_[0, np.cumsum(windows)[:-1]]
     p = np.arange(len(seg)) - first[seg]
     start = begin[seg] + p
-    twice = _Prefixes(data), _Prefixes(255 - data)
-    return seg, off[seg] - p, *(x.hash(start, start + width) for x in twice)
+    twice = PrefixHash(data), PrefixHash(255 - data)
+    return seg, off[seg] - p, *(x.slices(start, start + width) for x in twice)
 
 
 def _runs(hit: np.ndarray, off: np.ndarray) -> list[list[int]]:
