@@ -35,7 +35,7 @@ def register(name: str, ops: str, sql: str | None = None):
 def load_all() -> dict[str, Query]:
     from . import reporting  # noqa: F401  (registration side effects)
     for mod in ("quality", "profile", "metrics", "features", "models", "ingest", "streams",
-                "resampling", "clustering", "extra"):
+                "resampling", "clustering", "extra", "audit"):
         try:
             __import__(f"{__name__}.{mod}")
         except ModuleNotFoundError as e:  # module not written yet

@@ -16,6 +16,7 @@ from ..operators import quality as Q
 from ..operators import supervised as S
 from ..operators.anomaly import as_vector
 from ..operators.anomaly import kmeans as K
+from ..plans.ordered import with_row_id
 from ..session import scratch_path
 from ..sources import adapters as A
 from ..sources import ingest as G
@@ -146,9 +147,12 @@ SELECT 'Cyber Attacks (Synthetic)' AS dataset, 'total_nulls' AS "check", CAST(NU
        'stat' AS level, 0.0 AS value, 'total nulls' AS message
 UNION ALL
 SELECT 'Cyber Attacks (Synthetic)', 'unexpected_classes', 'Attack Type', 'warning', CAST(NULL AS DOUBLE),
-       'Unexpected class set'
+       'class set differs from the expected one'
 FROM (SELECT list(DISTINCT "Attack Type" ORDER BY "Attack Type") AS k FROM attack_log) t
-WHERE k <> ['DDoS', 'Intrusion', 'Malware']""")
+WHERE k <> ['DDoS', 'Intrusion', 'Malware']
+UNION ALL
+SELECT 'Cyber Attacks (Synthetic)', 'class_balance', 'Attack Type', 'stat',
+       COUNT(*) / CAST(SUM(COUNT(*)) OVER () AS DOUBLE), "Attack Type" FROM attack_log GROUP BY 6""")
 def q_attack_validation(spark, sf):
     return Q.validate_attacks(_attack_log(spark, sf))
 
@@ -167,9 +171,9 @@ def q_attack_share(spark, sf):
 @register("hash_samples", "C17 C18 C19 A6")
 def q_samples(spark, sf):
     ne = A.network_events(spark, sf)
-    key = F.xxhash64(*[F.col(c) for c in ne.columns])
-    exact = K.sample_rows(ne, 8000, key=key)                              # C17
-    u = (F.xxhash64(key, F.lit(7)).cast("double") + 2.0 ** 63) / 2.0 ** 64
+    ne = with_row_id(ne)
+    exact = K.sample_rows(ne, 8000, key=F.col("_rid"))                    # C17
+    u = (F.xxhash64("_rid", F.lit(7)).cast("double") + 2.0 ** 63) / 2.0 ** 64
     frac = ne.where(u < 0.10)                                             # C18
     fit, val = ne.where(u < 0.75), ne.where(u >= 0.75)                    # C19
     head = G.sample_head(ne, 5000)                                        # A6

@@ -75,7 +75,7 @@ _NE_NUM_ALL = NE_NUM
 
 
 @register("leakage_scan", "E24 E25 T9 T10", A.with_views(f"""
-SELECT column_name, abs_corr, COALESCE(abs_corr > 0.95, false) AS leak_flag FROM (
+SELECT column_name, round(abs_corr, 4) AS abs_corr, COALESCE(abs_corr > 0.95, false) AS leak_flag FROM (
 {_union([f"SELECT '{c}' AS column_name, abs({_corr_sql(f'CAST({c} AS DOUBLE)', 'CAST(label AS DOUBLE)')}) AS abs_corr FROM network_events" for c in _NE_NUM_ALL])}
 ) t ORDER BY abs_corr DESC NULLS LAST, column_name""", NE))
 def q_leakage_scan(spark, sf):
@@ -142,7 +142,7 @@ def _ks_sql():
 @register("ks_two_sample", "E30", A.with_views(_ks_sql(), NE))
 def q_ks(spark, sf):
     ne = A.network_events(spark, sf)
-    return P.ks_two_sample(ne.where("split = 'train'"), ne.where("split = 'test'"), _KS_COLS)
+    return P.ks_two_sample(ne.where("split = 'train'"), ne.where("split = 'test'"), _KS_COLS, max_cols=20)
 
 
 @register("crosstab_pct", "E31", A.with_views(f"""

@@ -139,17 +139,19 @@ def _flows_report_sql(split_pred: str, split: str) -> str:
     ds = f"UNSW-NB15 ({split})"
     base = f"(SELECT * FROM network_events WHERE {split_pred})"
     parts = [f"""SELECT '{ds}' AS dataset, 'high_nulls' AS "check", '{c}' AS column_name, 'warning' AS level,
-       (COUNT(*) - COUNT({c})) / COUNT(*) AS value, 'High nulls' AS message FROM {base} b
+       (COUNT(*) - COUNT({c})) / COUNT(*) AS value, 'many nulls' AS message FROM {base} b
        HAVING (COUNT(*) - COUNT({c})) / COUNT(*) > 0.05""" for c in NE_ALL]
-    parts.append(f"""SELECT '{ds}', 'duplicates', NULL, 'warning', CAST(d AS DOUBLE), 'duplicate rows detected'
+    parts.append(f"""SELECT '{ds}', 'duplicates', NULL, 'warning', CAST(d AS DOUBLE), 'some rows repeat'
        FROM (SELECT (SELECT COUNT(*) FROM {base} b1) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM {base} b2) x) AS d) t WHERE d > 0""")
-    parts.append(f"""SELECT '{ds}', 'class_imbalance', 'label', 'warning', m, 'Severe class imbalance: minority class share'
+    parts.append(f"""SELECT '{ds}', 'class_imbalance', 'label', 'warning', m, 'the rarest class is under the warning share'
        FROM (SELECT MIN(c) / SUM(c) AS m FROM (SELECT COUNT(*) AS c FROM {base} b GROUP BY label) g) t WHERE m < 0.10""")
     for c in ("proto", "service", "state"):
         parts.append(f"SELECT '{ds}', 'needs_encoding', '{c}', 'warning', NULL, "
-                     f"'Categorical column needs encoding before modeling'")
+                     f"'text column, encode it before fitting'")
     parts.append(f"SELECT '{ds}', 'numeric_cols', NULL, 'stat', 13.0, 'numeric columns'")
     parts.append(f"SELECT '{ds}', 'total_nulls', NULL, 'stat', CAST({' + '.join(f'COUNT(*) - COUNT({c})' for c in NE_ALL)} AS DOUBLE), 'total nulls' FROM {base} b")
+    parts.append(f"SELECT '{ds}', 'class_balance', 'label', 'stat', COUNT(*) / CAST(SUM(COUNT(*)) OVER () AS DOUBLE), "
+                 f"CAST(label AS VARCHAR) FROM {base} b GROUP BY label")
     return _union(parts)
 
 
@@ -166,7 +168,7 @@ _SC_ALL = ["split", "record_id", "process_id", "thread_id", "parent_process_id",
     "SELECT 'BETH' AS dataset, 'evil_rate' AS \"check\", 'evil' AS column_name, 'stat' AS level, "
     "AVG(evil) AS value, 'evil rate' AS message FROM system_call_events",
     "SELECT 'BETH', 'sparse_labels', 'evil', 'warning', AVG(evil), "
-    "'Extremely sparse labels: use unsupervised methods' FROM system_call_events HAVING AVG(evil) < 0.05",
+    "'positive labels are too rare to learn from' FROM system_call_events HAVING AVG(evil) < 0.05",
     f"SELECT 'BETH', 'total_nulls', NULL, 'stat', CAST({' + '.join(f'COUNT(*) - COUNT({c})' for c in _SC_ALL)} AS DOUBLE), "
     "'total nulls' FROM system_call_events"]), SC))
 def q_validate_syscalls(spark, sf):

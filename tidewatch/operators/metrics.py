@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -165,53 +166,33 @@ def adjusted_rand_index(df: DataFrame, a: str, b: str) -> DataFrame:
 # McNemar (L10, D9)
 # ---------------------------------------------------------------------------
 
+def _stirling_rest(x: float) -> float:
+    """log x! minus its Stirling formula; series for large x, exact below."""
+    if x < 16:
+        return math.lgamma(x + 1) - ((x + 0.5) * math.log(x) - x + 0.5 * math.log(2 * math.pi)) if x else 0.0
+    return (1 / 12 - (1 / 360 - 1 / 1260 / (x * x)) / (x * x)) / x
+
+
 def binom_two_sided_p(k: int, n: int) -> float:
     """Exact two-sided binomial p (p = .5): min(1, 2·P[X ≤ k]), k ≤ n/2.
 
-    Summed in log space; for very large n the tail is the regularised
-    incomplete beta I_{1/2}(n−k, k+1) by continued fraction.
+    The point probability at k is taken in saddle-point form (Stirling
+    rests and the deviance from n/2, which lose no digits for large n);
+    the tail below it follows from the ratios j / (n − j + 1) of
+    neighbouring probabilities, summed over the stretch that matters.
     """
-    if n == 0:
-        return 1.0
     k = min(k, n - k)
-    if k <= 200000:
-        lt = -n * math.log(2.0)
-        acc = math.exp(lt)
-        for i in range(k):
-            lt += math.log(n - i) - math.log(i + 1)
-            acc += math.exp(lt)
-        return min(1.0, 2.0 * acc)
-    return min(1.0, 2.0 * _betai(n - k, k + 1, 0.5))
-
-
-def _betai(a: float, b: float, x: float) -> float:
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)
-    if x < (a + 1) / (a + b + 2):
-        return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbt) * _betacf(b, a, 1 - x) / b
-
-
-def _betacf(a, b, x, itmax=10000, eps=1e-15):
-    qab, qap, qam = a + b, a + 1, a - 1
-    c, d = 1.0, 1 - qab * x / qap
-    d = 1 / (d if abs(d) > 1e-300 else 1e-300)
-    h = d
-    for m in range(1, itmax + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1 + aa * d
-        d = 1 / (d if abs(d) > 1e-300 else 1e-300)
-        c = 1 + aa / c if abs(1 + aa / c) > 1e-300 else 1e-300
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1 + aa * d
-        d = 1 / (d if abs(d) > 1e-300 else 1e-300)
-        c = 1 + aa / c if abs(1 + aa / c) > 1e-300 else 1e-300
-        de = d * c
-        h *= de
-        if abs(de - 1) < eps:
-            break
-    return h
+    if n == 0 or 2 * k == n:
+        return 1.0
+    if k == 0:
+        return min(1.0, 2.0 * math.exp(-n * math.log(2.0)))
+    shift = (n - 2 * k) / n                      # k = n/2 (1 − shift)
+    deviance = 0.5 * n * ((1 - shift) * math.log1p(-shift) + (1 + shift) * math.log1p(shift))
+    log_pmf = (_stirling_rest(n) - _stirling_rest(k) - _stirling_rest(n - k) - deviance
+               + 0.5 * math.log(n / (2 * math.pi * k * (n - k))))
+    j = np.arange(k, max(0, k - int(12 * math.sqrt(n)) - 50), -1, dtype=np.float64)
+    tail = 1.0 + float(np.exp(np.cumsum(np.log(j / (n - j + 1)))).sum())
+    return min(1.0, 2.0 * math.exp(log_pmf) * tail)
 
 
 def _binom_p(k: pd.Series, n: pd.Series) -> pd.Series:

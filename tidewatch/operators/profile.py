@@ -145,17 +145,24 @@ def pairwise_corr(df: DataFrame, pairs: Sequence[tuple[str, str]], chunk: int =
 
 def leakage_scan(df: DataFrame, target: str, threshold: float = 0.95,
                  top: int | None = None, coerce: bool = False) -> DataFrame:
-    """|corr| of every numeric column with the target; the flag
-    compares the unrounded value; NULL (constant) sorts last."""
-    from .quality import numeric_columns
+    """|corr| of every numeric column with the target, 4 decimals; the
+    flag compares the unrounded value; NULL (constant) sorts last.
+
+    A text target is replaced by its category codes (position among the
+    sorted values, -1 for NULL); with ``coerce`` it is read as numbers
+    instead, unreadable values being NULL."""
+    from .quality import category_codes, numeric_columns
     cols = numeric_columns(df, exclude=[target])
-    d = df
+    d, by = df, target
     if coerce:
         d = df.withColumn(target, F.col(f"`{target}`").try_cast("double"))
-    r = pairwise_corr(d, [(c, target) for c in cols])
-    rows = [(c, None if r[(c, target)] is None else abs(r[(c, target)])) for c in cols]
+    elif df.schema[target].dataType.typeName() == "string":
+        d, by = category_codes(df, target), f"{target}_code"
+    r = pairwise_corr(d, [(c, by) for c in cols])
+    rows = [(c, None if r[(c, by)] is None else abs(r[(c, by)])) for c in cols]
     out = df.sparkSession.createDataFrame(rows, "column_name string, abs_corr double").select(
-        "column_name", "abs_corr", F.coalesce(F.col("abs_corr") > threshold, F.lit(False)).alias("leak_flag"))
+        "column_name", F.round("abs_corr", 4).alias("abs_corr"),
+        F.coalesce(F.col("abs_corr") > threshold, F.lit(False)).alias("leak_flag"))
     out = out.orderBy(F.desc_nulls_last("abs_corr"), "column_name")
     return out.limit(top) if top else out
 
@@ -210,14 +217,16 @@ def ks_pvalue(d: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
     return F.when(zz < 0.2, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * series)))
 
 
-def ks_two_sample(a: DataFrame, b: DataFrame, cols: Sequence[str], top: int = 10) -> DataFrame:
+def ks_two_sample(a: DataFrame, b: DataFrame, cols: Sequence[str], top: int = 10,
+                  max_cols: int | None = None) -> DataFrame:
     """Two-sample Kolmogorov–Smirnov statistic per column.
 
     Both samples are tagged and counted per (column, value); running
     counts over the distinct values (blocked prefix sums) give both ECDFs
-    at every jump point; the statistic is the max gap.
+    at every jump point; the statistic is the max gap.  ``max_cols`` keeps
+    the first so many columns (default: all).
     """
-    cols = list(cols)[:20]
+    cols = list(cols)[:max_cols]
     ta = melt(a, cols).where(F.col("value").isNotNull() & ~F.isnan("value")).select(
         "column_name", "value", F.lit(1).alias("ia"), F.lit(0).alias("ib"))
     tb = melt(b, cols).where(F.col("value").isNotNull() & ~F.isnan("value")).select(

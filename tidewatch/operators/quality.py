@@ -10,10 +10,11 @@ per column, instead of one pass per column.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
+from pyspark.sql.types import DecimalType, FractionalType, IntegralType, NumericType, StringType
 
 from ..functions.scalar import round_ratio
 
@@ -43,6 +44,12 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
             if isinstance(f.dataType, NumericType) and f.name not in exclude]
 
 
+def dtype_histogram(df: DataFrame) -> DataFrame:
+    """Number of columns per data type, most frequent first."""
+    kinds = df.sparkSession.createDataFrame([(t,) for _, t in df.dtypes], "dtype string")
+    return kinds.groupBy("dtype").agg(F.count(F.lit(1)).alias("n_columns")).orderBy(F.desc("n_columns"), "dtype")
+
+
 def string_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields
             if isinstance(f.dataType, StringType) and f.name not in exclude]
@@ -116,15 +123,17 @@ def cardinality(df: DataFrame, cols: Sequence[str] | None = None,
     """Distinct values per column, with and without
     null, constant / high-cardinality flags.
 
-    Columns are melted into (column, value) pairs — numeric columns as
-    doubles (so −0.0 and 0.0 group together, as in ``count(DISTINCT)``),
-    the rest as strings — and de-duplicated with one map-side combined
-    aggregate, instead of one ``count_distinct`` expansion per column."""
+    Columns are melted into (column, value) pairs — whole numbers as
+    bigint, floating ones as doubles (so −0.0 and 0.0 group together, as in
+    ``count(DISTINCT)``), the rest as strings — and de-duplicated with one
+    map-side combined aggregate, instead of one ``count_distinct``
+    expansion per column."""
     cols = list(cols or df.columns)
-    num = [c for c in cols if isinstance(df.schema[c].dataType, NumericType)]
-    oth = [c for c in cols if c not in num]
+    whole = [c for c in cols if isinstance(df.schema[c].dataType, IntegralType)]
+    num = [c for c in cols if isinstance(df.schema[c].dataType, FractionalType) and not isinstance(df.schema[c].dataType, DecimalType)]
+    oth = [c for c in cols if c not in whole and c not in num]
     parts = []
-    for group, typ in ((num, "double"), (oth, "string")):
+    for group, typ in ((whole, "bigint"), (num, "double"), (oth, "string")):
         if not group:
             continue
         arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast(typ).alias("v"))
@@ -132,7 +141,7 @@ def cardinality(df: DataFrame, cols: Sequence[str] | None = None,
         d = df.select(F.inline(arr)).groupBy("column_name", "v").agg(F.lit(1).alias("_x"))
         parts.append(d.groupBy("column_name").agg(F.count("v").alias("n_distinct"),
                                                   F.max(F.col("v").isNull().cast("int")).alias("has_null")))
-    prof = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    prof = reduce(DataFrame.unionByName, parts)
     dn = F.col("n_distinct") + F.coalesce(F.col("has_null"), F.lit(0))
     return prof.select("column_name", "n_distinct", dn.alias("n_distinct_with_null"),
                        (F.col("n_distinct") <= 1).alias("is_constant"),
@@ -215,8 +224,13 @@ def _report(base: DataFrame, candidates: list[tuple[Column, Column]]) -> DataFra
     return (base.select(F.explode(arr).alias("x")).where("x.fire").select("x.f.*"))
 
 
-def _empty_report(spark):
-    return spark.createDataFrame([], REPORT_SCHEMA)
+def _balance_stats(df: DataFrame, dataset: str, target: str) -> DataFrame:
+    """One ``class_balance`` stat per class: its share of the rows, the class as message."""
+    g = df.groupBy(F.col(f"`{target}`").alias("c")).agg(F.count(F.lit(1)).alias("k"))
+    total = g.agg(F.sum("k")).scalar()
+    return g.select(F.lit(dataset).alias("dataset"), F.lit("class_balance").alias("check"),
+                    F.lit(target).alias("column_name"), F.lit("stat").alias("level"),
+                    (F.col("k") / total).cast("double").alias("value"), F.col("c").cast("string").alias("message"))
 
 
 def validate_flows(df: DataFrame, split: str = "train", null_warn: float = 0.05,
@@ -228,7 +242,7 @@ def validate_flows(df: DataFrame, split: str = "train", null_warn: float = 0.05,
     for t in FLOW_TARGETS:
         if t not in df.columns:
             cand.append((F.lit(True), _finding(ds, "missing_target", t, "error", None,
-                                               "Missing required column")))
+                                               "required column is absent")))
     n = F.count(F.lit(1))
     aggs = [n.alias("n")] + [F.count_if(F.col(f"`{c}`").isNull()).alias(f"null_{i}")
                              for i, c in enumerate(df.columns)]
@@ -241,22 +255,23 @@ def validate_flows(df: DataFrame, split: str = "train", null_warn: float = 0.05,
         base = base.withColumn("minority", (lab.select(F.col("minc") / F.col("tot")).scalar()))
     for i, c in enumerate(df.columns):
         rate = F.col(f"null_{i}") / F.col("n")
-        cand.append((rate > null_warn, _finding(ds, "high_nulls", c, "warning", rate, "High nulls")))
+        cand.append((rate > null_warn, _finding(ds, "high_nulls", c, "warning", rate, "many nulls")))
     cand.append((F.col("dups") > 0, _finding(ds, "duplicates", None, "warning", F.col("dups"),
-                                             "duplicate rows detected")))
+                                             "some rows repeat")))
     if "label" in df.columns:
         cand.append((F.col("minority") < minority_warn,
                      _finding(ds, "class_imbalance", "label", "warning", F.col("minority"),
-                              "Severe class imbalance: minority class share")))
+                              "the rarest class is under the warning share")))
     for c in FLOW_CATEGORICAL:
         if c in df.columns and isinstance(df.schema[c].dataType, StringType):
             cand.append((F.lit(True), _finding(ds, "needs_encoding", c, "warning", None,
-                                               "Categorical column needs encoding before modeling")))
+                                               "text column, encode it before fitting")))
     total_nulls = sum((F.col(f"null_{i}") for i in range(len(df.columns))), F.lit(0))
     cand.append((F.lit(True), _finding(ds, "numeric_cols", None, "stat",
                                        F.lit(len(numeric_columns(df))), "numeric columns")))
     cand.append((F.lit(True), _finding(ds, "total_nulls", None, "stat", total_nulls, "total nulls")))
-    return _report(base, cand) if cand else _empty_report(spark)
+    out = _report(base, cand)
+    return out.unionByName(_balance_stats(df, ds, "label")) if "label" in df.columns else out
 
 
 def validate_syscalls(df: DataFrame, sparse_warn: float = 0.05) -> DataFrame:
@@ -270,17 +285,17 @@ def validate_syscalls(df: DataFrame, sparse_warn: float = 0.05) -> DataFrame:
     base = df.agg(*aggs)
     if SYSCALL_TARGET not in df.columns:
         cand.append((F.lit(True), _finding(ds, "missing_target", SYSCALL_TARGET, "error", None,
-                                           "Missing target column")))
+                                           "target column is absent")))
     else:
         cand.append((F.lit(True), _finding(ds, "evil_rate", SYSCALL_TARGET, "stat",
                                            F.col("evil_rate"), "evil rate")))
         cand.append((F.col("evil_rate") < sparse_warn,
                      _finding(ds, "sparse_labels", SYSCALL_TARGET, "warning", F.col("evil_rate"),
-                              "Extremely sparse labels: use unsupervised methods")))
+                              "positive labels are too rare to learn from")))
     for c in SYSCALL_NUMERIC:
         if c not in df.columns:
             cand.append((F.lit(True), _finding(ds, "missing_numeric", c, "warning", None,
-                                               "Expected numeric column not found")))
+                                               "numeric column is absent")))
     total_nulls = sum((F.col(f"null_{i}") for i in range(len(df.columns))), F.lit(0))
     cand.append((F.lit(True), _finding(ds, "total_nulls", None, "stat", total_nulls, "total nulls")))
     return _report(base, cand)
@@ -296,16 +311,17 @@ def validate_attacks(df: DataFrame, target: str = ATTACK_TARGET,
     base = df.agg(*aggs)
     if target not in df.columns:
         cand.append((F.lit(True), _finding(ds, "missing_target", target, "error", None,
-                                           "Missing target column")))
+                                           "target column is absent")))
     else:
         classes = df.select(F.sort_array(F.collect_set(F.col(f"`{target}`")))).scalar()
         exp = F.array(*[F.lit(x) for x in sorted(expected)])
         base = base.withColumn("classes_ok", classes == exp)
         cand.append((~F.col("classes_ok"), _finding(ds, "unexpected_classes", target, "warning", None,
-                                                    "Unexpected class set")))
+                                                    "class set differs from the expected one")))
     total_nulls = sum((F.col(f"null_{i}") for i in range(len(df.columns))), F.lit(0))
     cand.append((F.lit(True), _finding(ds, "total_nulls", None, "stat", total_nulls, "total nulls")))
-    return _report(base, cand)
+    out = _report(base, cand)
+    return out.unionByName(_balance_stats(df, ds, target)) if target in df.columns else out
 
 
 def report_status(report: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import json
 import os
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
                                        LogisticRegressionModel, OneVsRest, OneVsRestModel,
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import confidence
-from ..plans.ordered import hash_rank
+from ..plans.ordered import hash_rank, with_row_id
 from . import features as FE
 from .metrics import binary_metrics, roc_auc
 
@@ -106,6 +107,14 @@ class TwoStageModel:
         drop = [c for c in out.columns if c.endswith("__f") or c.endswith("__idx") or c.endswith("__ohe")]
         return out.drop(*drop)
 
+    def bulk_scores(self, df: DataFrame, version: str, threshold: float = 0.5) -> DataFrame:
+        """The bulk answer per row: flag, probability and confidence with 4
+        decimals, the attack type (NULL unless flagged) and the model version."""
+        s = self.predict(df, threshold)
+        return (s.withColumn("attack_type", F.when(F.col("is_attack") == 1, F.col("attack_type")))
+                .withColumn("attack_probability", F.round("attack_probability", 4))
+                .withColumn("confidence", F.round("confidence", 4)).withColumn("model_version", F.lit(version)))
+
     def feature_importance(self) -> list[tuple[str, float]]:
         """Importance per encoded feature, sorted descending; models
         without importances raise."""
@@ -161,16 +170,21 @@ def _read_json(path: str) -> dict:
 def fit_two_stage(df: DataFrame, label: str = "label", type_col: str | None = "attack_cat",
                   stage1: str = "rf", stage2: str = "rf", numeric=None, categorical=None,
                   stage1_overrides: dict | None = None, stage2_overrides: dict | None = None,
-                  smote: bool = False) -> TwoStageModel:
+                  smote: bool = True) -> TwoStageModel:
     """Fit the preprocessor and both stages.
 
+    With several attack types, stage 2 is fitted on classes grown to equal
+    size by SMOTE (``smote=False``: on the rows as they are).
+
     Stage 1 sees every row (balanced weights; boosted trees use the
     computed n_neg/n_pos instead, J3).  Stage 2 sees attack rows only and
     requires the real category column (trap T18)."""
     if numeric is None or categorical is None:
         numeric, categorical = FE.flow_columns(df, label)
     pre = FE.build_preprocessor(numeric, categorical).fit(df)
-    x = pre.transform(df).withColumn("_y", F.col(label).cast("double"))
+    # both fits, the weights and the class counts read the features: encode once
+    x = pre.transform(df).withColumn("_y", F.col(label).cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
+    encoded = x
     if stage1 == "gbt":
         ratio = FE.positive_weight(x, "_y").first()["scale_pos_weight"] or 1.0
         x = x.withColumn("_w", F.when(F.col("_y") == 1, F.lit(float(ratio))).otherwise(F.lit(1.0)))
@@ -184,7 +198,7 @@ def fit_two_stage(df: DataFrame, label: str = "label", type_col: str | None = "a
         ti = StringIndexer(inputCol=type_col, outputCol="_t", stringOrderType="alphabetAsc",
                            handleInvalid="error").fit(att)
         att = ti.transform(att)
-        if smote:
+        if smote and len(ti.labels) > 1:
             from .resample import smote as smote_fn
             att = smote_fn(att, "_t", "features")
         att = _weight_col(att.drop("_w"), "_t")
@@ -194,6 +208,7 @@ def fit_two_stage(df: DataFrame, label: str = "label", type_col: str | None = "a
             ti = None
     m = TwoStageModel(pre, s1, s2, ti, list(numeric), list(categorical))
     m._names = FE.feature_names(x)
+    encoded.unpersist()
     return m
 
 
@@ -208,11 +223,11 @@ def evaluate(model: TwoStageModel, df: DataFrame, label: str = "label") -> DataF
 
 
 def stratified_folds(df: DataFrame, label: str, k: int = 3, seed: int = SEED) -> DataFrame:
-    """Exact stratified fold ids: rank rows by a seeded hash within their
-    class (blocked prefix count, no single-task window) and take rank % k."""
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    r = hash_rank(df, key, [label], seed=seed)
-    return r.withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_h", "_rank", "_group_n")
+    """Exact stratified fold ids: rank rows by a seeded hash of a stored row
+    id within their class (blocked prefix count, no single-task window) and
+    take rank % k."""
+    r = hash_rank(with_row_id(df), F.col("_rid"), [label], seed=seed)
+    return r.withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_h", "_rank", "_group_n", "_rid")
 
 
 def cross_val_auc(df: DataFrame, label: str = "label", k: int = 3, stage1: str = "rf",
@@ -233,10 +248,10 @@ def cross_val_auc(df: DataFrame, label: str = "label", k: int = 3, stage1: str =
 
 def stratified_split(df: DataFrame, label: str, test_frac: float, seed: int = SEED):
     """C20: exact stratified split — round(frac · n_c) test rows per class,
-    chosen by a seeded hash rank within the class (no single-task window,
-    no approximate ``sampleBy``).  Returns (train, test)."""
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    r = hash_rank(df, key, [label], seed=seed)
+    chosen by a seeded hash rank of a stored row id within the class (no
+    single-task window, no approximate ``sampleBy``); NULL labels are a
+    class.  Returns (train, test)."""
+    r = hash_rank(with_row_id(df), F.col("_rid"), [label], seed=seed)
     k = F.floor(F.lit(float(test_frac)) * F.col("_group_n") + F.lit(0.5))
     r = r.withColumn("_test", F.col("_rank") <= k)
     cols = [F.col(f"`{c}`") for c in df.columns]

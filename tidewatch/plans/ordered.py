@@ -7,10 +7,12 @@ quantiles are therefore computed as a *blocked prefix sum*:
 1. rows are range-partitioned on ``(group, order)`` into B blocks
    (``repartitionByRange`` samples the keys, so a group holding a third
    of all rows is split over many blocks);
-2. per-block totals are aggregated (map-side combine, tiny output);
-3. block offsets are a window over at most B rows per group;
-4. local running sums are a window over one block;
-5. offset + local gives the global running sum.
+2. the blocked rows are checkpointed: both branches below read the same
+   block bounds, whatever the optimiser does with the range exchange;
+3. per-block totals are aggregated (map-side combine, tiny output);
+4. block offsets are a window over at most B rows per group;
+5. local running sums are a window over one block;
+6. offset + local gives the global running sum.
 
 Callers pre-aggregate to distinct order keys first whenever ties matter,
 so a heavily repeated value collapses into one row before any shuffle.
@@ -23,13 +25,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 _UNB = Window.unboundedPreceding
 
 
 def _blocks(df: DataFrame) -> int:
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, min(n, 4096))
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def range_blocks(df: DataFrame, order: Sequence[str], blocks: int | None = None) -> DataFrame:
+    """Rows with ``_blk``, a block id that is monotone in ``order``.
+
+    Range partitioning samples its bounds each time it runs, so the result
+    is checkpointed once; every later read sees the same blocks."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return (df.repartitionByRange(blocks or _blocks(df), *[F.col(c) for c in order])
+            .withColumn("_blk", F.spark_partition_id()).checkpoint())
+
+
+def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
+    """Rows with a stored unique id.
+
+    Sampling by a hash of the content takes all copies of a row or none;
+    hashing this id instead treats copies as rows of their own.  The ids
+    are checkpointed, so a recomputed task sees the same ones."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.withColumn(name, F.monotonically_increasing_id()).checkpoint()
 
 
 def running_sum(df: DataFrame, order: str | Sequence[str], sum_cols: Sequence[str],
@@ -45,10 +68,8 @@ def running_sum(df: DataFrame, order: str | Sequence[str], sum_cols: Sequence[st
     """
     order = [order] if isinstance(order, str) else list(order)
     g = list(group_cols)
-    b = blocks or _blocks(df)
     if block_col is None:
-        blk = df.repartitionByRange(b, *[F.col(c) for c in g + order]) \
-                .withColumn("_blk", F.spark_partition_id())
+        blk = range_blocks(df, g + order, blocks)
     else:
         blk = df.withColumn("_blk", block_col)
 
@@ -63,7 +84,13 @@ def running_sum(df: DataFrame, order: str | Sequence[str], sum_cols: Sequence[st
 
     wl = Window.partitionBy(*g, "_blk").orderBy(*order).rowsBetween(_UNB, Window.currentRow)
     local = blk.select("*", *[F.sum(c).over(wl).alias(f"_loc_{c}") for c in sum_cols])
-    out = local.join(offsets, on=g + ["_blk"], how="inner")
+    # null-safe on the group: NULL is a group of its own
+    keys = offsets.select(*[F.col(c).alias(f"_g_{i}") for i, c in enumerate(g)], F.col("_blk").alias("_b"),
+                          *[F.col(c) for c in offsets.columns if c not in g and c != "_blk"])
+    on = F.col("_blk") == F.col("_b")
+    for i, c in enumerate(g):
+        on = on & F.col(c).eqNullSafe(F.col(f"_g_{i}"))
+    out = local.join(keys, on)
     return out.select(
         *[F.col(c) for c in df.columns],
         *[(F.col(f"_loc_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in sum_cols],

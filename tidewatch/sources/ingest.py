@@ -154,17 +154,10 @@ def syscall_projection(raw: DataFrame, split: str | None = None) -> DataFrame:
 
 
 def write_partitioned(df: DataFrame, path: str, mode: str = "append", by: str = "split") -> None:
-    """B1–B3 sink: Parquet partitioned by split.  ``overwrite`` replaces
-    only the partitions present in ``df`` (dynamic partition overwrite),
-    the truncate-before-load of all loaded splits in one commit."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    if mode == "overwrite":
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode(mode).partitionBy(by).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    """B1–B3 sink: Parquet partitioned by split.  ``overwrite`` is the
+    truncate-before-load: the whole table goes, splits that are not loaded
+    too.  The mode is an option of this write, not of the session."""
+    df.write.mode(mode).option("partitionOverwriteMode", "static").partitionBy(by).parquet(path)
 
 
 def ingest_flows(spark: SparkSession, train: str, test: str, table_path: str, registry: DataFrame | None,

@@ -40,3 +40,8 @@ def upsert_registry(current: DataFrame, incoming: DataFrame) -> DataFrame:
         else:
             out.append(F.col(f"c.{c}").alias(c))
     return j.select(*out)
+
+
+def list_registry(registry: DataFrame) -> DataFrame:
+    """The registered datasets by name."""
+    return registry.orderBy("name")
