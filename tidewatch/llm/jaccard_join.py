@@ -7,10 +7,11 @@ documents are counted over the whole corpus, and the most frequent of them come
 by count; all others come by hash.  Equal sets are one class from the start.
 
 1. Prefix shingles of every class meet in lists.  In each list, every member is a
-   candidate with the list's first member (length and positional filter).
-2. Each candidate pair is verified once, on the whole sets.
+   candidate with the list's hub, the member that shares most of its prefix with others.
+2. Candidate pairs pass the length and positional filters and share enough of their prefixes;
+   each is then verified once, on the whole sets, behind the suffix filter.
 3. Lists whose members are still in several components are compared in full
-   across components (length, positional and suffix filter), and what is left is verified.
+   across components, with the same filters, and what is left is verified.
 
 Members of a list that are in one component already need no more comparison, so a large
 group of near copies costs a number of verifications in proportion to its size.
@@ -25,14 +26,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, prepare, utf8
+from .common import drop, materialise, prepare, utf8
 from .graph import components
 from .hashing import PrefixHash, blocks, byte_runs, join_bytes, mix
 
 BLOCK = 4 << 20
-FREQUENT = 1 << 16  # shingles ordered by their count; the others count as rare
+FREQUENT = 1 << 18  # shingles ordered by their count; the others count as rare
 BLOOM_BITS = 1 << 25  # filter of candidate classes sent to the executors; only saves work
 GROUP = 256  # sets verified against one partner in one task
+TASK_ROWS = 4096
 SKETCH = 64  # ranges of the shingle order that the suffix filter compares
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -70,6 +72,11 @@ def set_id(s: np.ndarray) -> int:
     return int(mix(mix(mix(total[:1]) + total[1:2]) + total[2:]).view(np.int64)[0])
 
 
+def _slot(sid: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Place of (set, row) in the filter of candidate classes."""
+    return (mix(sid.view(np.uint64) * _STEP + row.view(np.uint64)) % np.uint64(BLOOM_BITS)).astype(np.int64)
+
+
 def _sets(batches: Iterator[pd.DataFrame], words: int):
     for pdf in batches:
         bodies = list(pdf["body"])
@@ -102,29 +109,25 @@ def _may_link(n: str, m: str, i: str, j: str, percent: int):
             & (1 + F.least(n - i - 1, m - j - 1) >= need))
 
 
-def _sketch(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=SKETCH).astype(np.int32)
-
-
 def list_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of one list across components that pass the length, positional and suffix filters."""
-    pdf = pdf.drop_duplicates("id")
-    ids, comp = pdf["id"].to_numpy(), pdf["comp"].to_numpy()
-    n, pos = pdf["n"].to_numpy(np.int64), pdf["pos"].to_numpy(np.int64)
-    by = np.lexsort((ids, n))
-    ids, comp, n, pos = ids[by], comp[by], n[by], pos[by]
-    sketch = np.stack([np.frombuffer(x, np.int32) for x in pdf["sketch"]])[by]
+    """Pairs across components that pass the length and positional filters and may share enough of their prefixes, for all lists
+    ``g`` of one task.  Members of two components share open lists only, so no more than the fewer ``lists`` of the two."""
+    pdf = pdf.drop_duplicates(["g", "id"]).sort_values(["g", "n", "id"])
+    g, ids, comp = (pdf[c].to_numpy() for c in ("g", "id", "comp"))
+    n, pos, lists = (pdf[c].to_numpy(np.int64) for c in ("n", "pos", "lists"))
+    left = -(-percent * n // 100) - 1  # beyond the prefix
+    begin = np.searchsorted(g, g)  # first member of the list
     found = []
-    for k in range(1, len(ids)):
-        first = np.searchsorted(n, -(-percent * n[k] // 100))  # length filter: sizes are sorted
-        j = np.arange(first, k)
-        need = _needed(n[j], n[k], percent)
-        j = j[(comp[j] != comp[k]) & (1 + np.minimum(n[j] - pos[j], n[k] - pos[k]) - 1 >= need)]
-        apart = n[j] + n[k] - 2 * _needed(n[j], n[k], percent)
-        j = j[np.abs(sketch[j] - sketch[k]).sum(1) <= apart]  # suffix filter: the ranges' sizes differ by no more
-        if len(j):
-            found.append(np.stack((np.minimum(ids[j], ids[k]), np.maximum(ids[j], ids[k])), 1))
-    rows = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    for k in range(len(ids)):
+        lo = begin[k] + np.searchsorted(n[begin[k]:k], -(-percent * n[k] // 100))  # length filter: sizes are sorted
+        if lo < k:
+            need = _needed(n[lo:k], n[k], percent)
+            ok = ((comp[lo:k] != comp[k]) & (np.minimum(n[lo:k] - pos[lo:k], n[k] - pos[k]) >= need)
+                  & (np.minimum(lists[lo:k], lists[k]) >= need - np.maximum(left[lo:k], left[k])))
+            j = lo + np.flatnonzero(ok)
+            if len(j):
+                found.append(np.stack((np.minimum(ids[j], ids[k]), np.maximum(ids[j], ids[k])), 1))
+    rows = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
     return pd.DataFrame(rows, columns=["a", "b"])
 
 
@@ -139,20 +142,47 @@ def _unpacked(b: bytes) -> np.ndarray:
     return out.view(">u8").ravel().astype(np.int64)
 
 
-def verify_group(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Of one partner ``b`` and the sets paired with it, those that link."""
-    b = pdf["b"].iloc[0]
-    own = pdf[pdf["id"] == b]
-    rest = pdf[pdf["id"] != b].drop_duplicates("id")
+def _ranges(s: np.ndarray) -> np.ndarray:
+    return np.bincount(s >> 34, minlength=SKETCH)
+
+
+def verify_groups(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Pairs that link, of all groups of one task: a group is a partner ``b`` (its own row has id = b) and sets paired with it."""
+    pdf = pdf.drop_duplicates(["b", "salt", "id"]).sort_values(["b", "salt"])
+    b, salt, ids, packed = (pdf[c].to_numpy() for c in ("b", "salt", "id", "packed"))
+    cut = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (salt[1:] != salt[:-1]), True][:len(b) + 1])
     links = []
-    if len(own):
-        base = _unpacked(own["packed"].iloc[0])
-        for i, x in zip(rest["id"], rest["packed"]):
-            s = _unpacked(x)
-            common = len(np.intersect1d(base, s))
-            if (100 + percent) * common >= percent * (len(base) + len(s)):
-                links.append(i)
-    return pd.DataFrame({"a": np.array(links, np.int64), "b": np.full(len(links), b, np.int64)})
+    for lo, hi in zip(cut[:-1], cut[1:]):
+        own = [k for k in range(lo, hi) if ids[k] == b[k]]
+        if not own:
+            continue
+        base = _unpacked(packed[own[0]])
+        ranges = _ranges(base)
+        for k in range(lo, hi):
+            if ids[k] != b[k]:
+                s = _unpacked(packed[k])
+                # suffix filter: over ranges of the order, sizes differ by no more than the sets may
+                if np.abs(ranges - _ranges(s)).sum() > len(base) + len(s) - 2 * _needed(len(base), len(s), percent):
+                    continue
+                place = np.minimum(np.searchsorted(base, s), len(base) - 1)
+                if (100 + percent) * int((base[place] == s).sum()) >= percent * (len(base) + len(s)):
+                    links.append((ids[k], b[k]))
+    return pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+
+def _share_prefix(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share enough prefix shingles.  Up to the end of the shorter reaching prefix the sets share what their
+    prefixes share; beyond it, no more than that set has left."""
+    left = own.select(F.col("id").alias("a"), F.col("gs").alias("ga"), F.col("n").alias("na"))
+    right = own.select(F.col("id").alias("b"), F.col("gs").alias("gb"), F.col("n").alias("nb"))
+    left_over = lambda c: F.ceil(percent * F.col(c) / F.lit(100)) - 1
+    least = F.ceil(percent * (F.col("na") + F.col("nb")) / F.lit(100 + percent)) - F.greatest(left_over("na"), left_over("nb"))
+    return (pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("ga", "gb")) >= least).select("a", "b"))
+
+
+def _tasks(rows: DataFrame) -> int:
+    """Tasks of about ``TASK_ROWS`` rows each."""
+    return max(1, -(-rows.count() // TASK_ROWS))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -162,8 +192,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     members = pairs.join(salts, "b").select(F.col("a").alias("id"), "b",
                                             F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
     bases = salts.select(F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    return (members.unionByName(bases).join(sets.select("id", "packed"), "id")
-            .groupBy("b", "salt").applyInPandas(lambda pdf: verify_group(pdf, percent), "a long, b long"))
+    tasks = _tasks(pairs)
+    return (members.unionByName(bases).withColumn("task", F.pmod(F.xxhash64("b", "salt"), F.lit(tasks)))
+            .join(sets.select("id", "packed"), "id")
+            .groupBy("task").applyInPandas(lambda pdf: verify_groups(pdf, percent), "a long, b long"))
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -190,7 +222,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
             yield out
             pool = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             value, seen = np.unique(pool, return_counts=True)
-            often = seen >= max(4, len(sets) // 500)
+            often = seen >= 3
             if often.any():
                 yield pd.DataFrame({**{c: [None] * int(often.sum()) for c in pdf.columns if c not in ("body", "row")}, "row": 0,
                                     "n": -1, "sid": None, "shingle": value[often].view(np.int64), "seen": seen[often]})
@@ -198,9 +230,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     scan = materialise(rows.mapInPandas(size_up, ", ".join(
         [f"id {kind}", *(f"{c} {t}" for c, t in kept), "row long, n long, sid long, shingle long, seen long"])), "sets")
     top = (scan.where("n < 0").groupBy("shingle").agg(F.sum("seen").alias("seen"))
-           .orderBy(F.desc("seen"), "shingle").limit(FREQUENT).collect())
-    top = sorted((r["shingle"] % (1 << 64), r["seen"]) for r in top)
-    frequent = spark.sparkContext.broadcast((np.array([t[0] for t in top], np.uint64), np.array([t[1] for t in top], np.int64)))
+           .orderBy(F.desc("seen"), "shingle").limit(FREQUENT).toArrow())
+    value = top["shingle"].to_numpy().view(np.uint64)
+    by = np.argsort(value)
+    frequent = spark.sparkContext.broadcast((value[by], top["seen"].to_numpy()[by]))  # 4 MB at most
     rows_of = scan.where("n >= 0")
 
     def prefixes(batches):
@@ -227,50 +260,66 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
                                     "pos": np.concatenate([p[3] for p in parts]).astype(np.int32)})
 
     each = Window.partitionBy("g")
-    lists = (rows.select("body").mapInPandas(prefixes, "g long, id long, n int, pos int")
-             .withColumn("hub", F.min(F.struct("n", "id", "pos")).over(each)).withColumn("most", F.max("id").over(each))
-             .withColumn("least", F.min("id").over(each)).where("most <> least")
-             .select("g", "id", "n", "pos", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"),
-                     F.col("hub.pos").alias("hub_pos")))
-    lists = materialise(lists, "lists")
-    tried = materialise(lists.where("id <> hub").where(_may_link("n", "hub_n", "pos", "hub_pos", percent))
+    lists = materialise(rows.select("body").mapInPandas(prefixes, "g long, id long, n int, pos int")
+                        .withColumn("most", F.max("id").over(each)).withColumn("least", F.min("id").over(each))
+                        .where("most <> least").select("g", "id", "n", "pos").distinct(), "lists")
+    own = materialise(lists.groupBy("id").agg(F.collect_list("g").alias("gs"), F.first("n").alias("n")), "prefixes")
+    place = F.struct((-F.size("gs") / F.col("n")).alias("shared"), "id", "n", "pos")
+    hubs = (lists.join(own.select("id", "gs"), "id").select("g", place.alias("at")).groupBy("g").agg(F.min("at").alias("at"))
+            .select("g", F.col("at.id").alias("hub"), F.col("at.n").alias("hub_n"), F.col("at.pos").alias("hub_pos")))
+    tried = materialise(lists.join(hubs, "g").where("id <> hub").where(_may_link("n", "hub_n", "pos", "hub_pos", percent))
                         .select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-
     first_row = rows_of.where("sid is not null").groupBy("sid").agg(F.min("row").alias("row"))
-    wanted = first_row.join(lists.select(F.col("id").alias("sid")).distinct(), "sid", "left_semi")
-    slot = F.pmod(F.xxhash64("sid", "row"), F.lit(BLOOM_BITS))
-    bits = (wanted.select(slot.alias("slot")).groupBy((F.col("slot") / 64).cast("long").alias("word"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).collect())
-    bloom = np.zeros(BLOOM_BITS // 64, np.int64)
-    for r in bits:
-        bloom[r["word"]] = r["bits"]
-    sent = spark.sparkContext.broadcast(bloom.view(np.uint64))
-
-    def candidate_sets(batches):
-        for pdf, sets in _sets(batches, words):
-            out = [(set_id(s), r, s) for s, r in zip(sets, pdf["row"]) if len(s)]
-            yield pd.DataFrame({"sid": np.array([x[0] for x in out], np.int64), "row": np.array([x[1] for x in out], np.int64),
-                                "packed": [_packed(x[2]) for x in out], "sketch": [_sketch(x[2]).tobytes() for x in out]})
-
-    def may_be_wanted(batches):
-        for pdf in batches:
-            s = pdf["slot"].to_numpy(np.uint64)
-            yield pdf[(sent.value[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63))) & np.uint64(1) == 1].drop(columns=["slot"])
-
-    sets = (rows.select("body", "row").mapInPandas(candidate_sets, "sid long, row long, packed binary, sketch binary")
-            .withColumn("slot", slot).mapInPandas(may_be_wanted, "sid long, row long, packed binary, sketch binary"))
-    sets = materialise(sets.join(wanted, ["sid", "row"], "left_semi").select(F.col("sid").alias("id"), "packed", "sketch"), "tokens")
 
-    links = materialise(_verified(tried, sets, percent), "links")
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """(id, packed) of the classes in ``pairs``, from one more pass over the texts.  A bounded bit filter leaves most other
+        sets out before they are shuffled; the join drops the rest."""
+        ids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+        wanted = materialise(first_row.join(ids, "sid", "left_semi"), "wanted")
+
+        def slots(batches):
+            for pdf in batches:
+                yield pd.DataFrame({"slot": _slot(pdf["sid"].to_numpy(), pdf["row"].to_numpy())})
+
+        bits = (wanted.mapInPandas(slots, "slot long").groupBy((F.col("slot") / 64).cast("long").alias("word"))
+                .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow())
+        bloom = np.zeros(BLOOM_BITS // 64, np.int64)
+        bloom[bits["word"].to_numpy()] = bits["bits"].to_numpy()
+        sent = spark.sparkContext.broadcast(bloom.view(np.uint64))
+
+        def candidate_sets(batches):
+            for pdf, sets in _sets(batches, words):
+                out = [(set_id(s), r, s) for s, r in zip(sets, pdf["row"]) if len(s)]
+                slot = _slot(np.array([x[0] for x in out], np.int64), np.array([x[1] for x in out], np.int64)).astype(np.uint64)
+                maybe = (sent.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+                out = [x for x, ok in zip(out, maybe) if ok]
+                yield pd.DataFrame({"sid": np.array([x[0] for x in out], np.int64), "row": np.array([x[1] for x in out], np.int64),
+                                    "packed": [_packed(x[2]) for x in out]})
+
+        sets = rows.select("body", "row").mapInPandas(candidate_sets, "sid long, row long, packed binary")
+        return materialise(sets.join(wanted, ["sid", "row"], "left_semi").select(F.col("sid").alias("id"), "packed"), "tokens")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Links among candidate pairs: shared prefixes first, then whole sets."""
+        pairs = materialise(_share_prefix(pairs, own, percent), "pairs")
+        sets = sets_of(pairs)
+        out = materialise(_verified(pairs, sets, percent), "links")
+        drop(sets, pairs)
+        return out
+
+    links = linked(tried)
     comp = components(links)
-    open_ = lists.select("g", "id", "n", "pos").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    open_ = lists.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = open_.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("g")
-    more = (open_.join(mixed, "g", "left_semi").join(sets.select("id", "sketch"), "id")
-            .groupBy("g").applyInPandas(lambda pdf: list_pairs(pdf[["id", "n", "pos", "comp", "sketch"]], percent), "a long, b long").distinct())
+    open_ = materialise(open_.join(mixed, "g", "left_semi"), "open")
+    tasks = _tasks(open_)
+    more = (open_.join(open_.groupBy("id").agg(F.count("*").alias("lists")), "id").withColumn("task", F.pmod("g", F.lit(tasks)))
+            .groupBy("task").applyInPandas(lambda pdf: list_pairs(pdf, percent), "a long, b long").distinct())
     both = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialise(more.join(both, ["a", "b"], "left_anti"), "pairs")
-    extra = materialise(_verified(more, sets, percent), "links")
-    comp = components(links.unionByName(extra)) if extra.limit(1).count() else comp
+    more = more.join(both, ["a", "b"], "left_anti")
+    extra = linked(more)
+    if extra.limit(1).count():
+        comp = components(links.unionByName(extra))
 
     names = (rows_of.where("sid is not null").groupBy("sid").agg(F.min("id").alias("id"))
              .join(comp.withColumnRenamed("id", "sid"), "sid", "left")
