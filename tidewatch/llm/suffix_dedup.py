@@ -279,7 +279,8 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, width: int = 200, gram:
     anchors = docs.where(F.col("size") >= width).mapInPandas(
         lambda it: _anchor_rows(it, width, gram),
         "h long, fp long, key long, size int, start int, windows short, off short")
-    shared = anchors.groupBy("h").count().where("count > 1").select("h")
+    # stored, so that the join below has an exchange of its own on either side and AQE may split a hot value
+    shared = materialise(anchors.groupBy("h").count().where("count > 1").select("h"), "shared")
     found = materialise(anchors.join(shared, "h"), "anchors")
     classes = (found.groupBy("h", "fp").agg(F.count("*").alias("n"),
                                             F.min(F.struct("key", "size", "start", "windows", "off")).alias("at"))
