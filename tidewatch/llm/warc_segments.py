@@ -3,7 +3,7 @@
 Equal payloads are stored once: the page of the largest id is a response, the others are revisits of it.
 Responses are framed as chunked HTTP messages; a block above ``segment_chars`` is cut into a first
 record and continuation records.  Files are written by Spark's text writer (records are UTF-8, closed by CRLF
-CRLF), so they go to whatever storage Spark reaches and survive lost executors.
+CRLF) with gzip, so they go to whatever storage Spark reaches and survive lost executors.
 
 Reading parses each file by content lengths.  Continuation records are grouped by origin identifier,
 ordered by segment number, checked against the total length, and the chunked framing is decoded.
@@ -12,6 +12,7 @@ ordered by segment number, checked against the total length, and the chunked fra
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -137,7 +138,7 @@ def write_pages(spark: SparkSession, pages: DataFrame, path: str, id_col: str =
                                                                 refers, segment_chars)]}, dtype=object)
 
     (typed.mapInPandas(build, "value string").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", file_records)
-     .text(path))
+     .option("compression", "gzip").text(path))
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
@@ -164,6 +165,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
     def parse(batches):
         for pdf in batches:
             for data in pdf["content"]:
+                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
                 whole, parts = [], []
                 for h, block in parse_records(data):
                     if "WARC-Segment-Number" not in h:
