@@ -35,6 +35,7 @@ FREQUENT = 1 << 18  # shingles ordered by their count; the others count as rare
 BLOOM_BITS = 1 << 25  # filter of candidate classes sent to the executors; only saves work
 GROUP = 256  # sets verified against one partner in one task
 TASK_ROWS = 4096
+HUB_ROWS = 1 << 15  # list rows of one hub that are compared in one task
 SKETCH = 64  # ranges of the shingle order that the suffix filter compares
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -111,10 +112,11 @@ def _may_link(n: str, m: str, i: str, j: str, percent: int):
 
 def list_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Pairs across components that pass the length and positional filters and may share enough of their prefixes, for all lists
-    ``g`` of one task.  Members of two components share open lists only, so no more than the fewer ``lists`` of the two."""
+    ``g`` of one task.  Members of two components share open lists only.  If they must share c of them, the first one they
+    share leaves at least c - 1 of either's open lists behind it, so it has at most place lists - c in either's order."""
     pdf = pdf.drop_duplicates(["g", "id"]).sort_values(["g", "n", "id"])
     g, ids, comp = (pdf[c].to_numpy() for c in ("g", "id", "comp"))
-    n, pos, lists = (pdf[c].to_numpy(np.int64) for c in ("n", "pos", "lists"))
+    n, pos, lists, place = (pdf[c].to_numpy(np.int64) for c in ("n", "pos", "lists", "place"))
     left = -(-percent * n // 100) - 1  # beyond the prefix
     begin = np.searchsorted(g, g)  # first member of the list
     found = []
@@ -123,7 +125,7 @@ def list_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
         if lo < k:
             need = _needed(n[lo:k], n[k], percent)
             ok = ((comp[lo:k] != comp[k]) & (np.minimum(n[lo:k] - pos[lo:k], n[k] - pos[k]) >= need)
-                  & (np.minimum(lists[lo:k], lists[k]) >= need - np.maximum(left[lo:k], left[k])))
+                  & (np.minimum(lists[lo:k] - place[lo:k], lists[k] - place[k]) >= need - np.maximum(left[lo:k], left[k])))
             j = lo + np.flatnonzero(ok)
             if len(j):
                 found.append(np.stack((np.minimum(ids[j], ids[k]), np.maximum(ids[j], ids[k])), 1))
@@ -265,8 +267,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
                         .where("most <> least").select("g", "id", "n", "pos").distinct(), "lists")
     own = materialise(lists.groupBy("id").agg(F.collect_list("g").alias("gs"), F.first("n").alias("n")), "prefixes")
     place = F.struct((-F.size("gs") / F.col("n")).alias("shared"), "id", "n", "pos")
-    hubs = (lists.join(own.select("id", "gs"), "id").select("g", place.alias("at")).groupBy("g").agg(F.min("at").alias("at"))
-            .select("g", F.col("at.id").alias("hub"), F.col("at.n").alias("hub_n"), F.col("at.pos").alias("hub_pos")))
+    hubs = materialise(lists.join(own.select("id", "gs"), "id").select("g", place.alias("at")).groupBy("g").agg(F.min("at").alias("at"))
+                       .select("g", F.col("at.id").alias("hub"), F.col("at.n").alias("hub_n"), F.col("at.pos").alias("hub_pos")), "hubs")
     tried = materialise(lists.join(hubs, "g").where("id <> hub").where(_may_link("n", "hub_n", "pos", "hub_pos", percent))
                         .select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
     first_row = rows_of.where("sid is not null").groupBy("sid").agg(F.min("row").alias("row"))
@@ -311,9 +313,14 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     comp = components(links)
     open_ = lists.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = open_.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("g")
-    open_ = materialise(open_.join(mixed, "g", "left_semi"), "open")
+    of_id = Window.partitionBy("id")
+    open_ = materialise(open_.join(mixed, "g", "left_semi").join(hubs.select("g", "hub"), "g")
+                        .withColumn("lists", F.count("*").over(of_id))
+                        .withColumn("place", F.row_number().over(of_id.orderBy("g")) - 1), "open")
+    # lists of one hub have much the same members: together, they name each pair once
+    salts = open_.groupBy("hub").count().select("hub", F.ceil(F.col("count") / F.lit(HUB_ROWS)).alias("salts"))
     tasks = _tasks(open_)
-    more = (open_.join(open_.groupBy("id").agg(F.count("*").alias("lists")), "id").withColumn("task", F.pmod("g", F.lit(tasks)))
+    more = (open_.join(salts, "hub").withColumn("task", F.pmod(F.xxhash64("hub", F.pmod("g", "salts")), F.lit(tasks)))
             .groupBy("task").applyInPandas(lambda pdf: list_pairs(pdf, percent), "a long, b long").distinct())
     both = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = more.join(both, ["a", "b"], "left_anti")
