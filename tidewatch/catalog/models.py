@@ -64,7 +64,8 @@ def _syscall_features(spark, sf):
     scaler = FE.build_preprocessor(cols, [], output="features").fit(normal)
     fit = scaler.transform(normal)
     test = scaler.transform(sc.where("split = 'labelled_test'"))
-    return fit, test
+    val = scaler.transform(sc.where("split = 'labelled_val'"))
+    return fit, test, val
 
 
 @register("kmeans_anomalies", "K1 K2 K3 H16 H17 T13")
@@ -92,14 +93,14 @@ def q_silhouette(spark, sf):
 
 @register("gmm_anomalies", "K7 I14 C21")
 def q_gmm(spark, sf):
-    fit, test = _syscall_features(spark, sf)
+    fit, test, _ = _syscall_features(spark, sf)
     det = D.fit_gmm(fit, k=5)
     return det.flag(test).select("record_id", "evil", "sus", "component", "log_likelihood", "is_anomaly")
 
 
 @register("gmm_order_selection", "K12")
 def q_gmm_bic(spark, sf):
-    fit, _ = _syscall_features(spark, sf)
+    fit, _, _ = _syscall_features(spark, sf)
     rows = D.gmm_order_selection(fit, ks=range(2, 5))
     return spark.createDataFrame([(r["k"], float(r["bic"]), float(r["aic"])) for r in rows],
                                  "k int, bic double, aic double")
@@ -107,14 +108,14 @@ def q_gmm_bic(spark, sf):
 
 @register("pca_recon_anomalies", "K8 T26")
 def q_pca(spark, sf):
-    fit, test = _syscall_features(spark, sf)
+    fit, test, _ = _syscall_features(spark, sf)
     det = D.fit_pca_detector(fit, n_components=4)
     return det.flag(test).select("record_id", "evil", "sus", "recon_error", "is_anomaly")
 
 
 @register("iforest_scores", "K6 T28")
 def q_iforest(spark, sf):
-    fit, test = _syscall_features(spark, sf)
+    fit, test, _ = _syscall_features(spark, sf)
     det = I.fit_isolation_forest(fit, n_trees=100)
     return det.flag(test).select("record_id", "evil", "sus", "anomaly_score", "decision_score",
                                  "is_anomaly")
@@ -122,7 +123,7 @@ def q_iforest(spark, sf):
 
 @register("detector_comparison", "K9 K10 L1 L8")
 def q_compare(spark, sf):
-    fit, test = _syscall_features(spark, sf)
+    fit, test, _ = _syscall_features(spark, sf)
     km = K.fit_kmeans(fit, k=5, n_init=3)
     gm = D.fit_gmm(fit, k=5)
     pc = D.fit_pca_detector(fit, n_components=4)
@@ -135,12 +136,20 @@ def q_compare(spark, sf):
                                            "isolation_forest": "f_if"})
 
 
-@register("iforest_report", "K14 L6 L2")
-def q_iforest_report(spark, sf):
-    fit, test = _syscall_features(spark, sf)
-    it = I.fit_isolation_forest(fit, n_trees=100)
-    scored = it.flag(test)
-    return C.metric_row(scored, "isolation_forest", "sus", "is_anomaly", "anomaly_score")
+@register("detector_report", "K14 K13 L6 L2")
+def q_detector_report(spark, sf):
+    """One row per detector: threshold chosen on the validation split, metrics on the test split."""
+    from pyspark.sql import functions as F
+    fit, test, val = _syscall_features(spark, sf)
+    detectors = {"kmeans": (K.fit_kmeans(fit, k=5, n_init=3), F.col("distance")),
+                 "gmm": (D.fit_gmm(fit, k=5), -F.col("log_likelihood")),
+                 "pca": (D.fit_pca_detector(fit, n_components=4), F.col("recon_error")),
+                 "isolation_forest": (I.fit_isolation_forest(fit, n_trees=100), F.col("anomaly_score"))}
+    rows = []
+    for name, (det, score) in detectors.items():
+        scored = [det.flag(d).select("sus", score.alias("score")) for d in (val, test)]
+        rows.append(C.validated_row(name, *scored, "sus", "score"))
+    return C.union_reports(rows)
 
 
 @register("pca_projection_2d", "I16")

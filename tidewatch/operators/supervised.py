@@ -17,7 +17,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
                                        LogisticRegressionModel, OneVsRest, OneVsRestModel,
                                        RandomForestClassificationModel, RandomForestClassifier)
-from pyspark.ml.feature import StringIndexer, StringIndexerModel
+from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -262,14 +262,14 @@ def _multiclass_estimator(name: str, overrides: dict | None = None):
     p = overrides or {}
     if name == "lr":
         return LogisticRegression(maxIter=p.get("maxIter", 2000), featuresCol="features", labelCol="_t",
-                                  family="multinomial")
+                                  family="multinomial", weightCol="_w")
     if name == "rf":
         return RandomForestClassifier(numTrees=p.get("numTrees", 300), maxDepth=min(p.get("maxDepth", 30), 30),
-                                      seed=SEED, featuresCol="features", labelCol="_t")
+                                      seed=SEED, featuresCol="features", labelCol="_t", weightCol="_w")
     if name == "gbt":
         return OneVsRest(classifier=GBTClassifier(maxIter=p.get("maxIter", 200), maxDepth=p.get("maxDepth", 6),
                                                   stepSize=p.get("stepSize", 0.05), seed=SEED),
-                         featuresCol="features", labelCol="_t")
+                         featuresCol="numeric", labelCol="_t")
     raise ValueError(f"unknown model {name!r}")
 
 
@@ -277,15 +277,19 @@ def multiclass_suite(df: DataFrame, label: str, numeric, categorical, models=("l
                      test_frac: float = 0.3, overrides: dict | None = None) -> DataFrame:
     """Fit each classifier on a stratified split and report
     accuracy, macro / weighted F1 and macro one-vs-rest AUC (NULL when
-    undefined, e.g. one-vs-rest boosting has no joint probabilities)."""
+    undefined, e.g. one-vs-rest boosting has no joint probabilities).
+    Logistic regression and forest have balanced class weights; boosting
+    sees the numeric columns only."""
     from .metrics import class_report
     from .resample import macro_ovr_auc
     train, test = stratified_split(df, label, test_frac)
     pre = FE.build_preprocessor(numeric, categorical).fit(train)
     idx = StringIndexer(inputCol=label, outputCol="_t", stringOrderType="alphabetAsc",
                         handleInvalid="skip").fit(train)
-    tr = idx.transform(pre.transform(train)).persist()
-    te = idx.transform(pre.transform(test)).persist()
+    plain = VectorAssembler(inputCols=[f"{c}__f" for c in numeric], outputCol="numeric")
+    encode = lambda d: plain.transform(idx.transform(pre.transform(d)))
+    tr = _weight_col(encode(train), "_t").persist()
+    te = encode(test).persist()
     rows = []
     for name in models:
         m = _multiclass_estimator(name, (overrides or {}).get(name)).fit(tr)
