@@ -80,3 +80,19 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k + 1, k) for k in range(10, 60)] + [(100, 101)], "a long, b long")
     found = dict(map(tuple, components(edges).collect()))
     assert found == {**{k: 10 for k in range(10, 61)}, 100: 100, 101: 100}
+
+
+def test_pairs_at_the_threshold_whose_common_shingles_are_frequent(spark):
+    rnd = random.Random(3)
+    say = lambda n: [f"v{rnd.randrange(10 ** 9)}" for _ in range(n)]
+    docs = []
+    for _ in range(16):
+        common, other = say(94), say(70)  # 90 common shingles of 105: exactly 0.75
+        docs += [common + say(15), common + say(15)]
+        for k in (56, 57):  # hubs of the lists, in one size band with both; they link to neither
+            docs += 2 * [common[:52] + other[:k], common[42:] + other[-k:]]
+        docs += 10 * [other]
+    rows = [(k, " ".join(d)) for k, d in enumerate(docs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = sorted((tuple(r[:3]) for r in jaccard_components(spark, df).collect()), key=str)
+    assert found == brute(rows)

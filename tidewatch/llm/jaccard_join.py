@@ -112,11 +112,12 @@ def _may_link(n: str, m: str, i: str, j: str, percent: int):
 
 def list_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Pairs across components that pass the length and positional filters and may share enough of their prefixes, for all lists
-    ``g`` of one task.  Members of two components share open lists only.  If they must share c of them, the first one they
-    share leaves at least c - 1 of either's open lists behind it, so it has at most place lists - c in either's order."""
+    ``g`` of one task.  Members of two components share open lists only.  If they must share c prefix shingles, the first one they
+    share, in the order that ``pos`` counts, has c - 1 more open shingles behind it in either set: both filters hold for its list.
+    ``rest`` is the number of a member's open shingles from the list's on, each counted once whatever its size bands."""
     pdf = pdf.drop_duplicates(["g", "id"]).sort_values(["g", "n", "id"])
     g, ids, comp = (pdf[c].to_numpy() for c in ("g", "id", "comp"))
-    n, pos, lists, place = (pdf[c].to_numpy(np.int64) for c in ("n", "pos", "lists", "place"))
+    n, pos, rest = (pdf[c].to_numpy(np.int64) for c in ("n", "pos", "rest"))
     left = -(-percent * n // 100) - 1  # beyond the prefix
     begin = np.searchsorted(g, g)  # first member of the list
     found = []
@@ -125,7 +126,7 @@ def list_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
         if lo < k:
             need = _needed(n[lo:k], n[k], percent)
             ok = ((comp[lo:k] != comp[k]) & (np.minimum(n[lo:k] - pos[lo:k], n[k] - pos[k]) >= need)
-                  & (np.minimum(lists[lo:k] - place[lo:k], lists[k] - place[k]) >= need - np.maximum(left[lo:k], left[k])))
+                  & (np.minimum(rest[lo:k], rest[k]) >= need - np.maximum(left[lo:k], left[k])))
             j = lo + np.flatnonzero(ok)
             if len(j):
                 found.append(np.stack((np.minimum(ids[j], ids[k]), np.maximum(ids[j], ids[k])), 1))
@@ -313,10 +314,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     comp = components(links)
     open_ = lists.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = open_.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("g")
-    of_id = Window.partitionBy("id")
     open_ = materialise(open_.join(mixed, "g", "left_semi").join(hubs.select("g", "hub"), "g")
-                        .withColumn("lists", F.count("*").over(of_id))
-                        .withColumn("place", F.row_number().over(of_id.orderBy("g")) - 1), "open")
+                        .withColumn("rest", F.dense_rank().over(Window.partitionBy("id").orderBy(F.desc("pos")))), "open")
     # lists of one hub have much the same members: together, they name each pair once
     salts = open_.groupBy("hub").count().select("hub", F.ceil(F.col("count") / F.lit(HUB_ROWS)).alias("salts"))
     tasks = _tasks(open_)
