@@ -2,11 +2,14 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import defaultdict
 
+import numpy as np
+import pandas as pd
 import pytest
 
-from tidewatch.llm.suffix_dedup import remove_repeats
+from tidewatch.llm.suffix_dedup import _NAME, _merge, _shard, block_anchors, remove_repeats
 
 
 def brute(rows, width):
@@ -65,3 +68,28 @@ def test_on_given_table(spark, sf):
     res = remove_repeats(spark, df)
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in res.collect()), key=str) \
         == brute(rows, 200)
+
+
+def test_merge_of_a_window_in_very_many_segments():
+    names = [np.array([(7, 9, 1, k, 3)], _NAME).tobytes() for k in range(1500)] + [np.array([(7, 8, 2, 0, 3)], _NAME).tobytes()]
+    tracemalloc.start()
+    found = _merge(pd.DataFrame({"names": names}), 200, 32)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(found["fp"]) == list(range(1500)) and set(found["h"]) == {1}
+    assert peak < 8 << 20  # all pairs take 75 MB
+
+
+def test_a_shard_names_each_window_once():
+    rnd = random.Random(4)
+    say = lambda n: bytes(rnd.randrange(97, 123) for _ in range(n))
+    passage, rows = say(120), []
+    for _ in range(30):
+        body = passage + say(60)
+        a = block_anchors(np.frombuffer(body, np.uint8), np.array([len(body)]), 60, 16)
+        rows += [(h, fp, 1, w, o, True, body[s:s + w - 1 + 60])
+                 for h, fp, s, w, o in zip(a["h"], a["fp"], a["start"], a["windows"], a["off"])]
+    pdf = pd.DataFrame(rows, columns=["h", "fp", "n", "windows", "off", "spread", "body"])
+    names = np.concatenate([np.frombuffer(x, _NAME) for x in _shard(pdf, 60, 16, 3)["names"] if x is not None])
+    windows = {r[6][k:k + 60] for r in rows for k in range(r[3])}
+    assert len(names) == len({(x["a"], x["b"]) for x in names}) == len(windows)

@@ -17,9 +17,9 @@ always meet, whatever shard their documents are in:
    window is repeated when another segment shares its left part and its
    right part.
 4. *Cross-shard merge.*  The segments of a k-gram value that has very many
-   different contexts are spread over several shards.  Their windows are
-   exchanged as sorted fingerprint lists, cut by fingerprint range, and
-   looked up in each other by binary search.
+   different contexts are spread over several shards.  Their windows, each
+   once a shard, are exchanged as sorted fingerprint lists, cut by
+   fingerprint range, and sorted together; equal neighbours are repeated.
 """
 
 from __future__ import annotations
@@ -240,6 +240,8 @@ def _shard(pdf: pd.DataFrame, width: int, gram: int, ranges: int) -> pd.DataFram
         seg, o, a, b = _window_names([bodies[i] for i in spread], off[spread], windows[spread], width)
         band = (a % np.uint64(ranges)).astype(np.int64)
         by = np.lexsort((b, a, band))
+        # the suffix arrays have judged what this shard has twice: one of each is enough for the other shards
+        by = by[np.r_[True, (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1])]]
         h, fp = pdf["h"].to_numpy()[spread], pdf["fp"].to_numpy()[spread]
         cut = np.flatnonzero(np.r_[True, np.diff(band[by]) != 0])
         packs = [np.rec.fromarrays([a[g], b[g], h[seg[g]], fp[seg[g]], o[g].astype(np.int16)], dtype=_NAME).tobytes()
@@ -252,22 +254,13 @@ _NAME = np.dtype([("a", "u8"), ("b", "u8"), ("h", "i8"), ("fp", "i8"), ("o", "i2
 
 
 def _merge(pdf: pd.DataFrame, width: int, gram: int) -> pd.DataFrame:
-    """Cross-shard merge of one fingerprint range: each shard's sorted list is looked up in the
-    lists merged so far by binary search."""
-    lists = [np.frombuffer(x, _NAME) for x in pdf["names"]]
-    merged, found = lists[0][:0], []
-    for part in sorted(lists, key=len, reverse=True):
-        lo = np.searchsorted(merged["a"], part["a"], "left")
-        n = np.searchsorted(merged["a"], part["a"], "right") - lo
-        for k in range(int(n.max(initial=0))):
-            i = np.flatnonzero(n > k)
-            other = merged[lo[i] + k]
-            same = other["b"] == part["b"][i]
-            found += [part[i[same]], other[same]]
-        merged = np.insert(merged, lo, part)
-    rows = np.concatenate(found) if found else lists[0][:0]
-    got = pd.DataFrame({"h": rows["h"], "fp": rows["fp"], "o": rows["o"].astype(np.int32)}).drop_duplicates()
-    return got
+    """Cross-shard merge of one fingerprint range: a shard's list has each window once, so windows with an equal
+    neighbour in the order of all lists are in several shards.  Each is given once."""
+    rows = np.concatenate([np.frombuffer(x, _NAME) for x in pdf["names"]])
+    rows = rows[np.lexsort((rows["b"], rows["a"]))]
+    same = (rows["a"][1:] == rows["a"][:-1]) & (rows["b"][1:] == rows["b"][:-1])
+    rows = rows[np.r_[False, same] | np.r_[same, False]]
+    return pd.DataFrame({"h": rows["h"], "fp": rows["fp"], "o": rows["o"].astype(np.int32)})
 
 
 # --- the operator --------------------------------------------------------------
