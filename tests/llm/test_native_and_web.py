@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import string
@@ -148,6 +149,27 @@ def test_urls(spark, sf):
     assert judge_urls(spark, df.limit(0)).count() == 0
 
 
+def test_urls_count_rare_words(spark):
+    letters = "bcdfghjkmn"
+    often = " ".join("q" + "".join(letters[int(x)] for x in f"{k:05d}") for k in range(50_001))  # more frequent than the words of the hosts
+    paths = "/".join(f"t{k}" for k in range(50_001))
+    pages = [("http://zanzibarkodiak.org/poker/rare1", f"zanzibar kodiak {often} {often}"), ("http://kodiakzanzibar.org/rare1", ""),
+             *((f"http://x.org/{paths}/n{k}", "") for k in range(3)), ("http://xx.org/rare2", "")]
+    df = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in judge_urls(spark, df).collect()}
+    assert got[0].words == ["zanzibar", "kodiak"] and got[1].words == ["kodiak", "zanzibar"]
+    tokens = {k: [*r.words, *re.findall("[a-z0-9]+", r.path)] for k, r in got.items()}
+    n = [{}, {}]
+    for k, ts in tokens.items():
+        for t in ts:
+            n[k == 0][t] = n[k == 0].get(t, 0) + 1
+    size = len(n[0].keys() | n[1].keys())
+    of = [sum(x.values()) + size + 1 for x in n]
+    for k, ts in tokens.items():
+        score = math.log(2 / 6) + sum(math.log((n[1].get(t, 0) + 1) / of[1]) - math.log((n[0].get(t, 0) + 1) / of[0]) for t in ts)
+        assert abs(got[k].score - score) < 1e-6 * max(1, abs(score))
+
+
 def test_viterbi_splits_into_the_cheapest_words():
     cost = {"cheap": 3.0, "pills": 4.0, "che": 2.5, "appills": 9.0}
     assert segment("cheappills", cost, 10) == ["cheap", "pills"]

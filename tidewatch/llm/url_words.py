@@ -3,12 +3,16 @@
 Host labels are split into words by a unigram Viterbi search; the unigram counts come from the text of all
 pages.  A multinomial naive Bayes model then scores the words of host and path.  Its
 training labels are the pages themselves: a url with a word of the seed list is an example of an unwanted one, all others are
-examples of wanted ones.  The counts cover all pages.
+examples of wanted ones.  The counts cover all pages and all words.
+
+Neither table of counts leaves Spark.  Hosts and urls are dealt to blocks; a block gets the counts of the words
+that may be in its hosts, and the odds of its tokens, each once.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise, prepare
 
-VOCABULARY = 50_000  # words of the unigram and of the Bayes model, by count
 LONGEST = 24
+BLOCK_ROWS = 1024  # distinct hosts, or urls, that share one table of counts
+_RUN = re.compile(r"[a-z]{2,}")
 # Words of unwanted sites.
 SEEDS = ("adult", "ads", "bet", "bets", "betting", "bingo", "bonus", "casino", "cheap", "clickbait", "crypto", "escort", "gambling",
          "jackpot", "loan", "loans", "lottery", "nude", "payday", "pharmacy", "pills", "poker", "porn", "replica", "sex", "slots", "spam",
@@ -48,6 +53,21 @@ def matching_rule(host: str, path: str, rules) -> tuple[Column, Column]:
     return name, verdict
 
 
+def labels_of(host: str) -> list[str]:
+    """Parts of a host that are split into words."""
+    return host.replace("_", "-").replace("-", ".").split(".")[:-1]
+
+
+def possible_words(host: str) -> set[str]:
+    """All words of the unigram table that a split of the host may have."""
+    return {run[i:j] for label in labels_of(host) for run in _RUN.findall(label)
+            for i in range(len(run) - 1) for j in range(i + 2, min(i + LONGEST, len(run)) + 1)}
+
+
+def _blocks(rows: int) -> int:
+    return max(1, -(-rows // BLOCK_ROWS))
+
+
 def segment(label: str, cost: dict[str, float], total: float) -> list[str]:
     """Cheapest split of a label into words; an unknown word costs more the longer it is."""
     best, back = [0.0], [0]
@@ -68,7 +88,7 @@ def segment(label: str, cost: dict[str, float], total: float) -> list[str]:
 
 
 def judge_urls(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-               rules=RULES, seeds=SEEDS, vocabulary: int = VOCABULARY) -> DataFrame:
+               rules=RULES, seeds=SEEDS) -> DataFrame:
     """One row per row of ``pages``: id, host, path, rule (null without one), verdict (the rule's, else the model's), score (log odds
     of block) and words (of the host).
 
@@ -80,35 +100,49 @@ def judge_urls(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", u
     text = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " ")
     word = r"[a-z]{2,24}"
     spoken = pages.select(F.explode(F.regexp_extract_all(_lower_ascii(text), F.lit(word), F.lit(0))).alias("word"))
-    counts = (spoken.groupBy("word").agg(F.count("*").alias("n"))
-              .orderBy(F.desc("n"), "word").limit(vocabulary).collect())
-    number = {s: 1 for s in seeds} | {r["word"]: r["n"] for r in counts}
-    total = math.log(sum(number.values()) + 1)
-    cost = spark.sparkContext.broadcast({w: total - math.log(n) for w, n in number.items()})
-
-    def split(batches):
+    number = materialise(spoken.groupBy("word").agg(F.count("*").alias("n"))
+                         .unionByName(spark.createDataFrame([(x, 1) for x in seeds], "word string, n long"))
+                         .groupBy("word").agg(F.max("n").alias("n")), "counts")
+    total = math.log((number.agg(F.sum("n")).first()[0] or 0) + 1)
+    hosts = materialise(urls.select("host").distinct(), "hosts")
+    hosts = hosts.withColumn("block", F.pmod(F.xxhash64("host"), F.lit(_blocks(hosts.count()))))
+
+    def pieces(batches):
         for pdf in batches:
-            yield pd.DataFrame({"host": pdf["host"], "words": [[w for part in h.replace("_", "-").replace("-", ".").split(".")[:-1] or [""]
-                                                               for w in segment(part, cost.value, total)] for h in pdf["host"]]})
-
-    hosts = materialise(urls.select("host").distinct().mapInPandas(split, "host string, words array<string>"), "hosts")
+            for lo in range(0, len(pdf), BLOCK_ROWS):
+                part = pdf.iloc[lo:lo + BLOCK_ROWS]
+                found = {(b, w) for b, h in zip(part["block"], part["host"]) for w in possible_words(h)}
+                yield pd.DataFrame(list(found), columns=["block", "word"])
+
+    def split(at, known):
+        cost = {w: total - math.log(n) for w, n in zip(known["word"], known["n"])}
+        return pd.DataFrame({"host": at["host"], "words": [[w for part in labels_of(h) for w in segment(part, cost, total)]
+                                                           for h in at["host"]]})
+
+    known = hosts.mapInPandas(pieces, "block long, word string").distinct().join(number, "word")
+    hosts = materialise(hosts.groupBy("block").cogroup(known.groupBy("block"))
+                        .applyInPandas(split, "host string, words array<string>"), "words")
     tokens = F.array_distinct(F.concat("words", F.regexp_extract_all(_lower_ascii(F.col("path")), F.lit(r"[a-z0-9]+"), F.lit(0))))
     told = materialise(urls.join(hosts, "host").withColumn("tokens", tokens)
-                       .withColumn("bad", F.arrays_overlap("tokens", F.array(*map(F.lit, seeds)))), "urls")
+                       .withColumn("bad", F.arrays_overlap("tokens", F.array(*map(F.lit, seeds))))
+                       .withColumn("row", F.monotonically_increasing_id()), "urls")
     classes = {r["bad"]: r["count"] for r in told.groupBy("bad").count().collect()}
-    seen = (told.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(
-        F.count(F.when(F.col("bad"), 1)).alias("b"), F.count(F.when(~F.col("bad"), 1)).alias("a"))
-        .orderBy(F.desc(F.col("a") + F.col("b")), "token").limit(vocabulary).collect())
-    in_bad, in_good = sum(r["b"] for r in seen) + len(seen) + 1, sum(r["a"] for r in seen) + len(seen) + 1
-    odds = spark.sparkContext.broadcast({r["token"]: math.log((r["b"] + 1) / in_bad) - math.log((r["a"] + 1) / in_good) for r in seen})
+    seen = materialise(told.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(
+        F.count(F.when(F.col("bad"), 1)).alias("b"), F.count(F.when(~F.col("bad"), 1)).alias("a")), "tokens")
+    n_bad, n_good, size = seen.agg(F.sum("b"), F.sum("a"), F.count("*")).first()
+    in_bad, in_good = (n_bad or 0) + size + 1, (n_good or 0) + size + 1
     prior = math.log(classes.get(True, 0) + 1) - math.log(classes.get(False, 0) + 1)
+    told = told.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(_blocks(sum(classes.values())))))
+    told = told.select("block", "id", "host", "path", "words", "tokens")
+    odds = (told.select(F.col("block").alias("at"), F.explode("tokens").alias("token")).distinct().join(seen, "token")
+            .select("at", "token", (F.log((F.col("b") + 1) / F.lit(in_bad)) - F.log((F.col("a") + 1) / F.lit(in_good))).alias("odds")))
 
-    def scored(batches):
-        for pdf in batches:
-            yield pdf.assign(score=[prior + sum(odds.value.get(t, 0.0) for t in ts) for ts in pdf["tokens"]]).drop(columns=["tokens"])
+    def scored(at, odds):
+        worth = dict(zip(odds["token"], odds["odds"]))
+        return at.assign(score=[prior + sum(worth[t] for t in ts) for ts in at["tokens"]]).drop(columns=["block", "tokens"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    out = told.select("id", "host", "path", "words", "tokens").mapInPandas(
+    out = told.groupBy("block").cogroup(odds.groupBy("at")).applyInPandas(
         scored, f"id {kind}, host string, path string, words array<string>, score double")
     rule, verdict = matching_rule("host", "path", rules)
     method = F.when(F.col("score") > 0, "block").otherwise("allow")
