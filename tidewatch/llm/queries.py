@@ -5,20 +5,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import chat_format, filter_audit, mixing
 from .common import table
 from .decontaminate import decontaminate
 from .jaccard_join import jaccard_components
 from .quality_crf import score_quality
 from .rabitq import near_vectors
 from .suffix_dedup import remove_repeats
+from .token_align import align_tokens
 from .toxicity_fm import score_toxicity
 from .url_words import judge_urls
 from .warc_segments import archive_round_trip
 from .zstd_secrets import scan_secrets
 
 QUERIES: dict = {}
-SQL: dict[str, str] = {"op9_source_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op9_source_mixing": mixing.SQL, "op11_filter_audit": filter_audit.SQL, "op12_chat_format": chat_format.SQL}
 
 
 def _query(fn):
@@ -79,3 +80,22 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@_query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (filter_audit.filter_audit(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+            .select("part", "filter_order", "step", *filter_audit.MEASURES))
+
+
+@_query
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat_format.probe(spark, table(spark, sf_dir, "conversations"))
+    return (chat_format.read_back(chat_format.format_chats(spark, turns), together=True)
+            .select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"))
+
+
+@_query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = align_tokens(spark, table(spark, sf_dir, "documents"), with_groups=False)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
