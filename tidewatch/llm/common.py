@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +16,33 @@ from tidewatch.session import ensure_checkpoint_dir, scratch_path, ship_package
 _PENDING: list[tuple[SparkSession, str]] = []
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Shared checkpoint folder and package on the executors; idempotent."""
+    """Shared checkpoint folder and package on the executors; Arrow batches bounded by bytes, as texts differ
+    in length, unless the session has a lower bound.  Idempotent."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    if int(re.sub(r"\D", "", spark.conf.get(ARROW_BYTES))) not in range(1, BATCH_BYTES + 1):
+        spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
+
+
+def column(name: str) -> Column:
+    """A top-level column whatever characters its name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def kept_struct(docs: DataFrame, keep: tuple[str, ...]) -> list[Column]:
+    """Kept columns travel as one struct ``kept``, so that no name of theirs meets one of an operator's; none, no struct."""
+    return [F.struct(*(column(c) for c in keep)).alias("kept")] if keep else []
+
+
+def kept_schema(docs: DataFrame, keep: tuple[str, ...]) -> list[str]:
+    """The struct's declaration, for a function that passes it on."""
+    quoted = ("`" + c.replace("`", "``") + "`: " + docs.schema[c].dataType.simpleString() for c in keep)
+    return [f"kept struct<{', '.join(quoted)}>"] if keep else []
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

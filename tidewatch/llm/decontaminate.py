@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, utf8
+from .common import kept_schema, kept_struct, prepare, utf8
 from .hashing import PrefixHash, blocks, byte_runs, join_bytes
 
 SHARD_BYTES = 3 << 20
@@ -208,8 +208,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id
                   text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                   window: int = 10, part_words: int = PART_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_hit, n_items, items (sorted strings), items_sha256,
-    contaminated, ``spans``, the merged [start, end) byte ranges of hit words in the UTF-8 text, and the
-    columns named in ``keep``.
+    contaminated, ``spans``, the merged [start, end) byte ranges of hit words in the UTF-8 text, and with
+    ``keep`` a struct kept of the columns it names.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.  A null text or a text
     without words has no words and is clean.  Items without words match nothing; items with the same
@@ -224,12 +224,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id
     size = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     parts = max(1, -(-int(size) // (part_words * 6)))  # some six bytes a word
     body = utf8(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), body.alias("body"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    rows = docs.select(F.col(id_col).alias("id"), body.alias("body"), *kept_struct(docs, keep))
     kind = docs.schema[id_col].dataType.simpleString()
-    kept = [f"keep_{c}" for c in keep]
+    kept = ["kept"] if keep else []
     found_columns = ("n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, "
                      "spans array<array<long>>")
-    result = ", ".join([f"id {kind}", *(f"keep_{c} {docs.schema[c].dataType.simpleString()}" for c in keep), found_columns])
+    result = ", ".join([f"id {kind}", *kept_schema(docs, keep), found_columns])
 
     def phrases(part: int):
         own = items.where(F.pmod(F.xxhash64("id", "body"), F.lit(parts)) == part).distinct().collect()
@@ -246,7 +246,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id
         return pd.concat([pdf[["id", *kept]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
 
     def named(df):
-        return df.select(F.col("id").alias(id_col), *names, *(F.col(f"keep_{c}").alias(c) for c in keep))
+        return df.select(F.col("id").alias(id_col), *names, *kept)
 
     def search(batches, sent):
         part = sent.value

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, prepare, utf8
+from .common import crc_fold, kept_schema, kept_struct, prepare, utf8
 from .hashing import PrefixHash, blocks, byte_runs, join_bytes
 
 BLOCK = 4 << 20
@@ -219,7 +219,7 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_co
                   label_col: str = "quality", modulus: int = 3, held: int = 1, sample_rows: int = SAMPLE_ROWS,
                   keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: id, held_out (crc32 of the id as text mod ``modulus`` is ``held``), score in [0, 1],
-    predicted (1 if score >= 0.5), and the columns named in ``keep``.
+    predicted (1 if score >= 0.5), and with ``keep`` a struct kept of the columns it names.
 
     The score depends on the text alone.  A null text counts as empty, and an empty text is one empty line.  Without a
     labelled row to learn from every score is 0.5.  Repeated rows score alike; other columns are ignored.
@@ -229,7 +229,7 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_co
     sent = spark.sparkContext.broadcast(model)  # a few hundred numbers
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), (crc_fold(id_col, modulus) == held).alias("held_out"),
-                       utf8(text_col).alias("body"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+                       utf8(text_col).alias("body"), *kept_struct(docs, keep))
 
     def scored(batches):
         for pdf in batches:
@@ -239,6 +239,5 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_co
                     found[lo:hi] = score(sent.value, bodies[lo:hi])
             yield pdf.drop(columns=["body"]).assign(score=found, predicted=(found >= 0.5).astype(np.int32))
 
-    kept = [f"keep_{c} {docs.schema[c].dataType.simpleString()}" for c in keep]
-    out = rows.mapInPandas(scored, ", ".join([f"id {kind}, held_out boolean", *kept, "score double, predicted int"]))
-    return out.select(F.col("id").alias(id_col), "held_out", "score", "predicted", *(F.col(f"keep_{c}").alias(c) for c in keep))
+    out = rows.mapInPandas(scored, ", ".join([f"id {kind}, held_out boolean", *kept_schema(docs, keep), "score double, predicted int"]))
+    return out.select(F.col("id").alias(id_col), "held_out", "score", "predicted", *(["kept"] if keep else []))

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import kept_schema, kept_struct, prepare
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -108,14 +108,14 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
                  keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: id, n_assign, n_access, n_hex, base_sha256 (of the pattern spans), spans (all spans as
     kind:start:end by start and kind, comma-joined), novelty (array, one value per span), with ``with_redacted``
-    the text with every span replaced, and the columns named in ``keep``.
+    the text with every span replaced, and with ``keep`` a struct kept of the columns it names.
 
     Offsets are code points, ends exclusive.  A null text counts as empty and stays null when redacted.  Repeated rows
     give the same row each; other columns are ignored.  Rows are independent: nothing is shuffled.
     """
     prepare(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *kept_struct(docs, keep))
 
     def scan(batches):
         for pdf in batches:
@@ -130,8 +130,7 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
             found = pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "novelty", "redacted"])
             yield pd.concat([pdf.drop(columns=["text"]).reset_index(drop=True), found], axis=1)
 
-    kept = [f"keep_{c} {docs.schema[c].dataType.simpleString()}" for c in keep]
-    out = rows.mapInPandas(scan, ", ".join([f"id {kind}", *kept, "n_assign long, n_access long, n_hex long, base_sha256 string, "
+    out = rows.mapInPandas(scan, ", ".join([f"id {kind}", *kept_schema(docs, keep), "n_assign long, n_access long, n_hex long, base_sha256 string, "
                                             "spans string, novelty array<double>, redacted string"]))
     names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "novelty", *(["redacted"] if with_redacted else [])]
-    return out.select(F.col("id").alias(id_col), *names, *(F.col(f"keep_{c}").alias(c) for c in keep))
+    return out.select(F.col("id").alias(id_col), *names, *(["kept"] if keep else []))
