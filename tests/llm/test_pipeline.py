@@ -98,3 +98,39 @@ def test_run_is_the_chain_of_stages(spark, sf):
     rows = cp.run(spark, sf).collect()
     again = cp.run(spark, sf).collect()
     assert rows and sorted(map(tuple, rows), key=str) == sorted(map(tuple, again), key=str)
+
+
+EXTRA = ("score", "predicted", "held_out", "spans", "items", "n_words", "n_hit", "novelty", "redacted", "kept", "row", "row_key", "key", "id", "body",
+         "label", "component", "range", "weight", "a.b", "tie")
+
+
+def awkward(spark, like):
+    """Null, empty, repeated and very long rows under the columns of documents and more of clashing names."""
+    long = " ".join(f"word{k % 977}" for k in range(200_000))
+    base = [(1, None, "en", "s", None), (2, "", "en", None, 0), (3, "   ", None, "s", 3), (4, "a short text", "en", "s", 12), (4, "a short text", "en", "s", 12),
+            (5, long, "en", "t", len(long)), (6, long, "en", "t", len(long)), (None, None, None, None, None), (7, "line\n" * 3000, "en", "t", 15000),
+            (8, 'password = "Zk9vQ2x7Lr4TnW8yHs3Bd6"', "en", "t", 5)]
+    df = spark.createDataFrame(base, like)
+    for c in EXTRA:
+        df = df.withColumn(c, cp.F.lit("own"))
+    return df
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_every_stage_takes_awkward_rows_and_clashing_names(spark, sf, name):
+    like = spark.read.parquet(f"{sf}/documents.parquet").schema
+    docs, stage = awkward(spark, like), dict(cp.STAGES)[name]
+    got = stage(spark, docs, sf)
+    rows = got.collect()
+    ids = sorted(str(r["doc_id"]) for r in rows)
+    if name == "source_mixing":
+        assert set(ids) <= {"4", "5", "6", "7", "8", "3"} and stage(spark, docs.limit(0), sf).count() == 0
+        return
+    assert got.columns == docs.columns and got.schema["n_chars"].dataType == like["n_chars"].dataType
+    assert all(r[c] == "own" for r in rows for c in EXTRA)
+    every = sorted(str(r["doc_id"]) for r in docs.collect())
+    want = {"benchmark_decontamination": every, "secret_scans": every, "ngram_jaccard_join": ["1", "2", "3", "4", "5", "7", "8", "None"]}
+    assert set(ids) <= set(every) if name == "quality_classifier" else ids == want[name]
+    if name == "secret_scans":
+        assert "Zk9v" not in next(r["text"] for r in rows if r["doc_id"] == 8) and next(r["text"] for r in rows if r["doc_id"] == 1) is None
+    assert stage(spark, docs.limit(0), sf).count() == 0 and stage(spark, docs.drop("n_chars", *EXTRA), sf).columns == ["doc_id", "text", "lang", "source"]
