@@ -181,9 +181,7 @@ def q_stratified(spark, sf):
 def q_attack_models(spark, sf):
     ne = A.network_events(spark, sf).where("label = 1")
     num = ["dur", "sbytes", "dbytes", "sttl", "dttl", "spkts", "dpkts"]
-    return S.multiclass_suite(ne, "attack_cat", num, ["proto", "service", "state"],
-                              overrides={"rf": CHECK_TREES, "gbt": {"maxIter": 10, "maxDepth": 4},
-                                         "lr": {"maxIter": 100}})
+    return S.multiclass_suite(ne, "attack_cat", num, ["proto", "service", "state"], overrides={"rf": CHECK_TREES})
 
 
 @register("training_job_run", "J15 B6 B10 L9 M1")

@@ -14,8 +14,7 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
-                                       LogisticRegressionModel, OneVsRest, OneVsRestModel,
+from pyspark.ml.classification import (LogisticRegression, LogisticRegressionModel,
                                        RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -25,6 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import confidence
 from ..plans.ordered import hash_rank, with_row_id
 from . import features as FE
+from .boosting import BoostedModel, GradientBoosting
 from .metrics import binary_metrics, roc_auc
 
 # Fixed hyper-parameters of the reference's detector.
@@ -42,6 +42,11 @@ def _weight_col(df: DataFrame, y: str, out: str = "_w") -> DataFrame:
     return FE.with_class_weight(df, y, out)
 
 
+def _boosting(p: dict, weight_col: str | None, **columns) -> GradientBoosting:
+    return GradientBoosting(weightCol=weight_col, rounds=p["maxIter"], depth=p["maxDepth"], rate=p["stepSize"],
+                            patience=p.get("patience"), seed=SEED, **columns)
+
+
 def stage1_estimator(name: str, n_rows: int | None = None, weight_col: str | None = "_w",
                      overrides: dict | None = None):
     """Stage-1 learner by name."""
@@ -56,22 +61,19 @@ def stage1_estimator(name: str, n_rows: int | None = None, weight_col: str | Non
         return LogisticRegression(maxIter=p["maxIter"], regParam=reg, elasticNetParam=0.0,
                                   standardization=False, weightCol=weight_col, **common)
     if name == "gbt":
-        return GBTClassifier(maxIter=p["maxIter"], maxDepth=p["maxDepth"], stepSize=p["stepSize"],
-                             seed=SEED, weightCol=weight_col, **common)
+        return _boosting(p, weight_col, **common)
     raise ValueError(f"unknown stage-1 model {name!r}")
 
 
 def stage2_estimator(name: str, overrides: dict | None = None):
-    """Stage-2 learner (RF depth ≤ 30 — MLlib's limit; GBT is binary only,
-    so one-vs-rest)."""
+    """Stage-2 learner (RF depth ≤ 30, MLlib's limit; boosting grows the
+    trees of all classes together)."""
     p = {**STAGE2_PARAMS[name], **(overrides or {})}
     if name == "rf":
         return RandomForestClassifier(numTrees=p["numTrees"], maxDepth=min(p["maxDepth"], 30), seed=SEED,
                                       featuresCol="features", labelCol="_t", weightCol="_w")
     if name == "gbt":
-        return OneVsRest(classifier=GBTClassifier(maxIter=p["maxIter"], maxDepth=p["maxDepth"],
-                                                  stepSize=p["stepSize"], seed=SEED),
-                         featuresCol="features", labelCol="_t", weightCol="_w")
+        return _boosting(p, "_w", featuresCol="features", labelCol="_t")
     raise ValueError(f"unknown stage-2 model {name!r}")
 
 
@@ -128,9 +130,9 @@ class TwoStageModel:
     def save(self, path: str) -> None:
         """Preprocessor + both stages + side-car JSON."""
         self.preprocessor.write().overwrite().save(os.path.join(path, "preprocessor"))
-        self.stage1.write().overwrite().save(os.path.join(path, "stage1"))
+        _save_stage(self.stage1, os.path.join(path, "stage1"))
         if self.stage2 is not None:
-            self.stage2.write().overwrite().save(os.path.join(path, "stage2"))
+            _save_stage(self.stage2, os.path.join(path, "stage2"))
             self.type_indexer.write().overwrite().save(os.path.join(path, "type_indexer"))
         meta = {"stage1": type(self.stage1).__name__,
                 "stage2": type(self.stage2).__name__ if self.stage2 is not None else None,
@@ -142,7 +144,7 @@ class TwoStageModel:
         meta = _read_json(path)
         kinds = {"RandomForestClassificationModel": RandomForestClassificationModel,
                  "LogisticRegressionModel": LogisticRegressionModel,
-                 "GBTClassificationModel": GBTClassificationModel, "OneVsRestModel": OneVsRestModel}
+                 "BoostedModel": BoostedModel}
         s1 = kinds[meta["stage1"]].load(os.path.join(path, "stage1"))
         s2 = ti = None
         if meta["stage2"]:
@@ -154,6 +156,13 @@ class TwoStageModel:
         return m
 
 
+def _save_stage(stage, path: str) -> None:
+    if isinstance(stage, BoostedModel):
+        stage.save(path)
+    else:
+        stage.write().overwrite().save(path)
+
+
 def _write_json(path: str, meta: dict) -> None:
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
@@ -267,9 +276,8 @@ def _multiclass_estimator(name: str, overrides: dict | None = None):
         return RandomForestClassifier(numTrees=p.get("numTrees", 300), maxDepth=min(p.get("maxDepth", 30), 30),
                                       seed=SEED, featuresCol="features", labelCol="_t", weightCol="_w")
     if name == "gbt":
-        return OneVsRest(classifier=GBTClassifier(maxIter=p.get("maxIter", 200), maxDepth=p.get("maxDepth", 6),
-                                                  stepSize=p.get("stepSize", 0.05), seed=SEED),
-                         featuresCol="numeric", labelCol="_t")
+        p = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.05, "patience": 10, **p}
+        return _boosting(p, None, featuresCol="numeric", labelCol="_t")
     raise ValueError(f"unknown model {name!r}")
 
 
@@ -277,7 +285,7 @@ def multiclass_suite(df: DataFrame, label: str, numeric, categorical, models=("l
                      test_frac: float = 0.3, overrides: dict | None = None) -> DataFrame:
     """Fit each classifier on a stratified split and report
     accuracy, macro / weighted F1 and macro one-vs-rest AUC (NULL when
-    undefined, e.g. one-vs-rest boosting has no joint probabilities).
+    undefined, as with one class).
     Logistic regression and forest have balanced class weights; boosting
     sees the numeric columns only."""
     from .metrics import class_report
