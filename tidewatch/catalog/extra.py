@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.scalar import prob_band
+from ..operators import baselines as BL
 from ..operators import features as FE
 from ..operators import profile as P
 from ..operators import quality as Q
@@ -157,14 +158,13 @@ def q_attack_validation(spark, sf):
     return Q.validate_attacks(_attack_log(spark, sf))
 
 
-@register("attack_log_class_share", "M5 E12 I13", f"""
+@register("attack_log_class_share", "M5 E12", f"""
 WITH {_ATTACK_SQL}
 SELECT "Attack Type" AS value, COUNT(*) AS count,
        floor((2000.0 * COUNT(*) + SUM(COUNT(*)) OVER ()) / (2.0 * SUM(COUNT(*)) OVER ())) / 10.0 AS share
 FROM attack_log GROUP BY 1""")
 def q_attack_share(spark, sf):
     al = _attack_log(spark, sf)
-    FE.attack_columns(al, "with_leakage")      # I13: the named feature set resolves on this frame
     return Q.class_balance(al, "Attack Type", digits=1, percent=True)
 
 
@@ -188,7 +188,7 @@ def q_samples(spark, sf):
 @register("cv_auc", "J7")
 def q_cv(spark, sf):
     ne = A.network_events(spark, sf).where("split = 'train'")
-    mu, sd = S.cross_val_auc(ne, "label", 3, overrides={"numTrees": 10, "maxDepth": 6})
+    mu, sd = S.cross_val_auc(ne, "label", 3, overrides=CHECK_TREES)
     return spark.createDataFrame([(3, mu, sd)], "folds int, auc_mean double, auc_std double")
 
 
@@ -198,3 +198,52 @@ def q_elbow(spark, sf):
     rows = K.elbow(emb, ks=range(2, 6), n_init=2, sample_size=3000)
     return spark.createDataFrame([(r["k"], r["inertia"], r["silhouette"]) for r in rows],
                                  "k int, inertia double, silhouette double")
+
+
+@register("attack_log_findings", "M5", f"""
+WITH {_ATTACK_SQL},
+scores AS (SELECT o_totalprice / 600000 AS s, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'DDoS'
+                  WHEN o_orderpriority = '3-MEDIUM' THEN 'Intrusion' ELSE 'Malware' END AS k FROM orders),
+per AS (SELECT k, AVG(s) AS mean, STDDEV_SAMP(s) AS std, MIN(s) AS min, MAX(s) AS max FROM scores GROUP BY k)
+SELECT 'Anomaly Scores' AS area, k AS item, measure, value FROM per UNPIVOT (value FOR measure IN (mean, std, min, max))
+UNION ALL SELECT 'Missingness', 'all', 'missing_pct', 0.0
+UNION ALL SELECT 'High-cardinality fields', 'all', 'text_columns', 2.0
+UNION ALL SELECT 'High-cardinality fields', 'all', 'high_cardinality',
+  CAST((SELECT COUNT(DISTINCT "Protocol") FROM attack_log) > 50 AS INTEGER) + CAST((SELECT COUNT(DISTINCT "Attack Type") FROM attack_log) > 50 AS INTEGER)""")
+def q_attack_findings(spark, sf):
+    return BL.findings(_attack_log(spark, sf), "Attack Type", "Anomaly Scores")
+
+
+@register("attack_log_feature_sets", "I13 J14")
+def q_attack_sets(spark, sf):
+    """The named feature sets of the attack log, what each finds here, and a forest on each."""
+    al = _attack_log(spark, sf)
+    sets = {name: FE.attack_columns(al, name) for name in ("metadata_only", "with_leakage")}
+    return BL.feature_set_comparison(al, "Attack Type", sets, models=("rf",), overrides={"rf": CHECK_TREES})
+
+
+_RECALL = "CAST(json_extract_string(extra_metrics, '$.k') AS DOUBLE)"    # further metrics of a run are JSON; the test data has one
+
+
+@register("best_recall_run", "N5", A.with_views(f"""
+SELECT id, algorithm, model_type, {_RECALL} AS value,
+       coalesce({_RECALL} = (SELECT MAX({_RECALL}) FROM model_runs WHERE dataset_name = 'flows' AND model_type = 'supervised'), FALSE) AS is_best
+FROM model_runs WHERE dataset_name = 'flows' AND model_type = 'supervised'""", "model_runs"))
+def q_best_recall(spark, sf):
+    recall = F.get_json_object("extra_metrics", "$.k").cast("double")
+    return BL.best_runs(A.model_runs(spark, sf), "flows", recall, "supervised")
+
+
+@register("binary_baselines", "J12")
+def q_binary_baselines(spark, sf):
+    ne = A.network_events(spark, sf)
+    return BL.binary_suite(ne.where("split = 'train'"), ne.where("split = 'test'"),
+                           overrides={"rf": CHECK_TREES, "gbt": {"patience": 10}})
+
+
+@register("bulk_scores", "N1")
+def q_bulk_scores(spark, sf):
+    ne = A.network_events(spark, sf)
+    model = S.fit_two_stage(ne.where("split = 'train'"), stage1_overrides=CHECK_TREES, stage2_overrides=CHECK_TREES, smote=False)
+    return model.bulk_scores(ne.where("split = 'test'"), "v1").select(
+        "label", "is_attack", "attack_probability", "attack_type", "confidence", "model_version")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
+from ..operators.baselines import evaluation_table
 from ..sources import adapters as A
 from ..sources.tables import read_table
 from . import register
@@ -60,6 +61,37 @@ def q_class_report(spark, sf):
     return M.class_report(A.scored(spark, sf), "y", "pred_a")
 
 
+_SUMMARY = f"""counts AS (SELECT tp, fp, fn, tn, tp + fp + fn + tn AS n FROM {_COUNTS} c),
+summary AS (SELECT n, {_sd('tp + tn', 'n')} AS accuracy,
+  {_sd(f"{_sd('2 * tp', '2 * tp + fp + fn')} * (tp + fn) + {_sd('2 * tn', '2 * tn + fn + fp')} * (tn + fp)", 'n')} AS f1_weighted FROM counts),
+averages AS (
+  SELECT * FROM rows
+  UNION ALL SELECT 'macro avg', AVG(precision), AVG(recall), AVG(f1), CAST(SUM(support) AS BIGINT) FROM rows WHERE support > 0
+  UNION ALL SELECT 'weighted avg', SUM(precision * support) / SUM(support), SUM(recall * support) / SUM(support),
+                   SUM(f1 * support) / SUM(support), CAST(SUM(support) AS BIGINT) FROM rows WHERE support > 0)"""
+
+
+@register("scored_evaluation", "J9 L1 L2 L3 L4", A.with_views("""
+SELECT 'summary' AS section, 'all' AS item, u.measure, u.value FROM summary, LATERAL (
+  SELECT 'n' AS measure, CAST(n AS DOUBLE) AS value UNION ALL SELECT 'accuracy', accuracy UNION ALL SELECT 'f1_weighted', f1_weighted) u
+UNION ALL
+SELECT 'summary', 'all', 'roc_auc', (SELECT SUM(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END * a.n * b.n)
+    / (SUM(a.n * b.n))
+  FROM (SELECT CAST(score AS DOUBLE) AS score, COUNT(*) AS n FROM scored WHERE y = 1 GROUP BY 1) a,
+       (SELECT CAST(score AS DOUBLE) AS score, COUNT(*) AS n FROM scored WHERE y <> 1 GROUP BY 1) b)
+UNION ALL
+SELECT 'confusion', CAST(t.k AS VARCHAR) || '>' || CAST(p.k AS VARCHAR), 'count', CAST(COALESCE(c.n, 0) AS DOUBLE)
+FROM (SELECT y AS k FROM scored UNION SELECT pred_a FROM scored) t
+CROSS JOIN (SELECT y AS k FROM scored UNION SELECT pred_a FROM scored) p
+LEFT JOIN (SELECT y, pred_a, COUNT(*) AS n FROM scored GROUP BY y, pred_a) c ON c.y = t.k AND c.pred_a = p.k
+UNION ALL
+SELECT 'report', cls, u.measure, u.value FROM averages, LATERAL (
+  SELECT 'precision' AS measure, CAST(precision AS DOUBLE) AS value UNION ALL SELECT 'recall', recall UNION ALL SELECT 'f1', f1
+  UNION ALL SELECT 'support', CAST(support AS DOUBLE)) u""", S, extra=_CR_CTES + ",\n" + _SUMMARY))
+def q_scored_evaluation(spark, sf):
+    return evaluation_table(A.scored(spark, sf), "y", "pred_a", "score")
+
+
 _SC = """(SELECT CAST(score AS DOUBLE) AS s, SUM(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS pos,
         SUM(CASE WHEN y = 1 THEN 0 ELSE 1 END) AS neg FROM scored WHERE score IS NOT NULL GROUP BY 1)"""
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -179,9 +180,12 @@ def _read_json(path: str) -> dict:
 def fit_two_stage(df: DataFrame, label: str = "label", type_col: str | None = "attack_cat",
                   stage1: str = "rf", stage2: str = "rf", numeric=None, categorical=None,
                   stage1_overrides: dict | None = None, stage2_overrides: dict | None = None,
-                  smote: bool = True) -> TwoStageModel:
+                  smote: bool = True, cv: int | None = None) -> TwoStageModel:
     """Fit the preprocessor and both stages.
 
+    With ``cv``, stage 1 is also cross-validated on as many folds of the
+    encoded frame; the model's ``cv`` has the folds' AUCs, mean and std (J7).
+
     With several attack types, stage 2 is fitted on classes grown to equal
     size by SMOTE (``smote=False``: on the rows as they are).
 
@@ -200,6 +204,7 @@ def fit_two_stage(df: DataFrame, label: str = "label", type_col: str | None = "a
     else:
         x = _weight_col(x, "_y")
     n = x.count() if stage1 == "lr" else None
+    aucs = _fold_aucs(x, cv, stage1, stage1_overrides) if cv else None
     s1 = stage1_estimator(stage1, n, overrides=stage1_overrides).fit(x)
     s2 = ti = None
     if type_col is not None:
@@ -217,18 +222,16 @@ def fit_two_stage(df: DataFrame, label: str = "label", type_col: str | None = "a
             ti = None
     m = TwoStageModel(pre, s1, s2, ti, list(numeric), list(categorical))
     m._names = FE.feature_names(x)
+    m.cv = None if aucs is None else dict(zip(("auc_mean", "auc_std"), _spread(aucs))) | {"aucs": aucs}
     encoded.unpersist()
     return m
 
 
-def evaluate(model: TwoStageModel, df: DataFrame, label: str = "label") -> DataFrame:
-    """Accuracy / precision / recall / F1 / weighted F1 and exact AUC
-    of stage 1 on a scored frame (one row)."""
-    scored = model.predict(df)
-    bm = binary_metrics(scored, label, "is_attack")
-    auc = roc_auc(scored, label, "attack_probability").select("roc_auc")
-    return bm.select("n", "accuracy", "precision", "recall", "f1", "f1_weighted",
-                     auc.scalar().alias("roc_auc"))
+def evaluate(model: TwoStageModel, df: DataFrame, label: str = "label", n_boot: int | None = None) -> DataFrame:
+    """Stage 1 on a labelled frame: summary, confusion matrix, class report
+    and, with ``n_boot``, intervals (:func:`~.baselines.evaluation_table`)."""
+    from .baselines import evaluation_table
+    return evaluation_table(model.predict(df), label, "is_attack", "attack_probability", n_boot)
 
 
 def stratified_folds(df: DataFrame, label: str, k: int = 3, seed: int = SEED) -> DataFrame:
@@ -239,20 +242,36 @@ def stratified_folds(df: DataFrame, label: str, k: int = 3, seed: int = SEED) ->
     return r.withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_h", "_rank", "_group_n", "_rid")
 
 
+def _fold_aucs(x: DataFrame, k: int, stage1: str, overrides: dict | None) -> list[float | None]:
+    """AUC of stage 1 on each of ``k`` stratified folds of an encoded frame
+    (features, _y, _w), fitted on the others; the folds run at once."""
+    folded = stratified_folds(x.select("features", "_y", "_w"), "_y", k).persist(StorageLevel.MEMORY_AND_DISK)
+    n = folded.count()
+
+    def one(i: int) -> float | None:
+        model = stage1_estimator(stage1, n, overrides=overrides).fit(folded.where(F.col("fold") != i))
+        scored = model.transform(folded.where(F.col("fold") == i)).select("_y", vector_to_array("probability")[1].alias("p"))
+        return roc_auc(scored, "_y", "p").first()["roc_auc"]
+
+    with ThreadPoolExecutor(k) as pool:
+        aucs = list(pool.map(one, range(k)))
+    folded.unpersist()
+    return aucs
+
+
+def _spread(aucs: list[float | None]) -> tuple[float, float]:
+    """Mean and population deviation of the folds that have an AUC."""
+    known = [a for a in aucs if a is not None]
+    mu = sum(known) / len(known)
+    return mu, (sum((a - mu) ** 2 for a in known) / len(known)) ** 0.5
+
+
 def cross_val_auc(df: DataFrame, label: str = "label", k: int = 3, stage1: str = "rf",
                   overrides: dict | None = None) -> tuple[float, float]:
-    """K-fold stratified CV of stage 1 → (mean AUC, population std)."""
-    f = stratified_folds(df, label, k).cache()
-    aucs = []
-    for i in range(k):
-        m = fit_two_stage(f.where(F.col("fold") != i), label=label, type_col=None, stage1=stage1,
-                          stage1_overrides=overrides)
-        s = m.predict(f.where(F.col("fold") == i))
-        aucs.append(roc_auc(s, label, "attack_probability").first()["roc_auc"])
-    f.unpersist()
-    mu = sum(aucs) / k
-    sd = (sum((a - mu) ** 2 for a in aucs) / k) ** 0.5
-    return mu, sd
+    """K-fold stratified CV of stage 1 over one encoded frame → (mean AUC, population std)."""
+    numeric, categorical = FE.flow_columns(df, label)
+    x = FE.build_preprocessor(numeric, categorical).fit(df).transform(df).withColumn("_y", F.col(label).cast("double"))
+    return _spread(_fold_aucs(_weight_col(x, "_y"), k, stage1, overrides))
 
 
 def stratified_split(df: DataFrame, label: str, test_frac: float, seed: int = SEED):
