@@ -21,10 +21,13 @@ BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Shared checkpoint folder and package on the executors; Arrow batches bounded by bytes, as texts differ
-    in length, unless the session has a lower bound.  Idempotent."""
+    """Shared checkpoint folder and package on the executors; idempotent."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches bounded by bytes, as texts differ in length, unless the session has a lower bound."""
     if int(re.sub(r"\D", "", spark.conf.get(ARROW_BYTES))) not in range(1, BATCH_BYTES + 1):
         spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
 

@@ -26,11 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop, materialise, prepare, utf8
+from .common import bound_batches, column, drop, materialise, prepare, utf8
 from .graph import components
 from .hashing import PrefixHash, blocks, byte_runs, join_bytes, mix
 
-BLOCK = 4 << 20
+BLOCK = 1 << 20  # bytes of text hashed at once; a longer text stands alone
 FREQUENT = 1 << 18  # shingles ordered by their count; the others count as rare
 BLOOM_BITS = 1 << 25  # filter of candidate classes sent to the executors; only saves work
 GROUP = 256  # sets verified against one partner in one task
@@ -212,6 +212,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     Shingles and sets are compared by 64-bit hashes.  Empty tables give empty results.
     """
     prepare(spark)
+    bound_batches(spark)
     body = utf8(text_col)
     rows = docs.select(F.col(id_col).alias("id"), *(F.col(c).alias(f"keep_{c}") for c in keep),
                        body.alias("body"), F.xxhash64(F.col(id_col)).alias("row"))
@@ -300,7 +301,12 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
                                     "packed": [_packed(x[2]) for x in out]})
 
         sets = rows.select("body", "row").mapInPandas(candidate_sets, "sid long, row long, packed binary")
-        return materialise(sets.join(wanted, ["sid", "row"], "left_semi").select(F.col("sid").alias("id"), "packed"), "tokens")
+        # rows of one id and text come once each; the join has dealt them by the same key
+        once = sets.join(wanted, ["sid", "row"], "left_semi").groupBy("sid", "row").agg(F.first("packed").alias("packed"))
+        out = materialise(once.select(F.col("sid").alias("id"), "packed"), "tokens")
+        sent.destroy()
+        drop(wanted)
+        return out
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Links among candidate pairs: shared prefixes first, then whole sets."""
@@ -311,6 +317,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
         return out
 
     links = linked(tried)
+    frequent.destroy()
     comp = components(links)
     open_ = lists.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = open_.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("g")
@@ -348,5 +355,5 @@ def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     first = (found.where("component is not null").groupBy("component")
              .agg(F.min(F.struct(F.col("id").isNull(), "id", "row_key")).alias("least")).select("least.row_key"))
     stay = first.unionByName(found.where("component is null").select("row_key")).distinct()
-    once = docs.select(F.struct(*docs.columns).alias("row"), key.alias("row_key")).groupBy("row_key").agg(F.first("row").alias("row"))
+    once = docs.select(F.struct(*map(column, docs.columns)).alias("row"), key.alias("row_key")).groupBy("row_key").agg(F.first("row").alias("row"))
     return once.join(stay, "row_key", "left_semi").select("row.*")
