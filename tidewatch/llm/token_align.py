@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop, materialise, prepare
+from .common import bound_batches, materialise, prepare
 
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -80,10 +80,10 @@ class ByteLevel:
             return None
         return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={self.table[i]: i for i in plain}, special_tokens={})
 
-    def ids(self, text: str) -> np.ndarray:
+    def ids(self, text: str) -> list[int]:
         if self.ranked and not RARE.search(text):
-            return np.array(self.ranked.encode_ordinary(text), np.int64)
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
+            return self.ranked.encode_ordinary(text)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 class Pieces:
@@ -95,8 +95,8 @@ class Pieces:
         self.table = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode()
                       for i, p in ((i, self.model.id_to_piece(i)) for i in range(self.model.get_piece_size()))]
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode(text), np.int64)
+    def ids(self, text: str) -> list[int]:
+        return self.model.encode(text)
 
 
 class Groups:
@@ -170,8 +170,9 @@ class Encoders:
             return None
         body = (" " + text).encode()
         a, b = self.a.ids(" " + text), self.b.ids(text)
-        if b"".join(map(self.a.table.__getitem__, a.tolist())) != body or b"".join(map(self.b.table.__getitem__, b.tolist())) != body:
+        if b"".join(map(self.a.table.__getitem__, a)) != body or b"".join(map(self.b.table.__getitem__, b)) != body:
             return None
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
         index_a = dict(zip(np.cumsum(self.a_length[a]).tolist(), range(1, len(a) + 1)))
         index_b = dict(zip(np.cumsum(self.b_length[b]).tolist(), range(1, len(b) + 1)))
         common = sorted(index_a.keys() & index_b.keys())
@@ -244,6 +245,7 @@ def align_tokens(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     the vocabulary of B.  Blocks are stored before their names are used, so a rerun task can't rename them.
     """
     prepare(spark)
+    bound_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
 
