@@ -88,3 +88,17 @@ def test_edge_cases(spark, run):
     none = run(spark, docs, labels.limit(0)).collect()
     assert len({r.score for r in none}) == 1
     assert run(spark, docs.limit(0), labels).count() == 0
+
+
+def test_a_long_document_trains_by_a_stretch_of_its_lines(spark):
+    from tidewatch.llm import quality_crf as Q
+    body = b"\n".join(b"line %d of plain words" % k for k in range(3000))
+    cut = Q.stretch(body).split(b"\n")
+    assert len(cut) == Q.SAMPLE_LINES and body.find(b"\n".join(cut)) >= 0 and Q.stretch(body) == Q.stretch(body)
+    assert Q.stretch(b"") == b"" and Q.stretch(b"a\nb") == b"a\nb"
+    good, bad = "\n".join(["A plain sentence of words, as people write."] * 3000), "\n".join(["BUY | NOW!!! $$$ 99999 ###"] * 3000)
+    rows = [(k, good if k % 2 else bad) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k, _ in rows], "doc_id long, quality int, toxic int")
+    got = Q.score_quality(spark, docs, labels).collect()  # every labelled document is a long one
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in got)

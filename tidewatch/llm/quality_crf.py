@@ -10,6 +10,7 @@ calibration fitted on the training documents.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 from .common import crc_fold, kept_schema, kept_struct, prepare, utf8
 from .hashing import PrefixHash, blocks, byte_runs, join_bytes
 
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 SAMPLE_ROWS = 6000  # labelled documents that the model is fitted on
-SAMPLE_LINES = 2000  # documents of more lines are not drawn for that sample
+SAMPLE_LINES = 2000  # of a longer document, so many lines in a row stand for it in that sample
+SAMPLE_TASKS = 32
 QUANTILES = (0.04, 0.12, 0.5, 0.88, 0.96)  # bin edges of a feature
 BINS = len(QUANTILES) + 1
 
@@ -191,6 +193,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
             .orderBy(F.xxhash64("id", "body"), "id").limit(rows))
 
 
+def stretch(body: bytes, lines: int = SAMPLE_LINES) -> bytes:
+    """A text of at most ``lines`` lines as it is; of a longer one, so many lines in a row, from a place that its hash draws."""
+    cut = body.split(b"\n")
+    if len(cut) <= lines:
+        return body
+    at = zlib.crc32(body) % (len(cut) - lines + 1)
+    return b"\n".join(cut[at:at + lines])
+
+
 def train_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
                   label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> QualityModel | None:
     """Model fitted on the labelled rows that ``train`` (a column over ``id``) selects; None without any.
@@ -201,12 +212,11 @@ def train_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, train
         for pdf in batches:
             out = []
             for body, label in zip(pdf["body"], pdf["label"]):
-                if body.count(b"\n") < SAMPLE_LINES:
-                    x, length, _ = line_features([body])
-                    out.append((x.tobytes(), length.astype(np.int64).tobytes(), label))
+                x, length, _ = line_features([stretch(body)])
+                out.append((x.tobytes(), length.astype(np.int64).tobytes(), label))
             yield pd.DataFrame(out, columns=["x", "length", "label"])
 
-    got = sample.mapInPandas(featured, "x binary, length binary, label int").collect()
+    got = sample.repartition(SAMPLE_TASKS).mapInPandas(featured, "x binary, length binary, label int").collect()
     if not got:
         return None
     wide = line_features([b""])[0].shape[1]
