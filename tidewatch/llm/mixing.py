@@ -5,8 +5,8 @@ epochs of a source come first; what is left of the target is filled in the order
 -ln(u) / w, where u is a hash of the document's id and w its quality weight: a weighted sample without
 replacement.  The last document taken may be taken in part.
 
-The prefix sums within a source never sort a source in one task.  The keys of a source are cut into
-ranges of about ``RANGE_ROWS`` documents; ranges are summed with partial aggregates, offsets
+The prefix sums within a source never sort a source in one task.  Documents are range-partitioned by source and
+key, by the keys as they are, into ranges of about ``RANGE_ROWS`` documents; ranges are summed with partial aggregates, offsets
 come from the sums, and rows are sorted inside one range only.
 """
 
@@ -19,7 +19,7 @@ from .common import materialise, prepare
 
 WORD = r"[^\x20\x09-\x0D]+"
 NOT_PLAIN = r"[^a-z\x{80}-\x{10FFFF}\x20\x0A]"
-RANGE_ROWS = 4096
+RANGE_ROWS = 1 << 16
 SEED = "mix-1"
 
 
@@ -47,7 +47,16 @@ def source_targets(per: DataFrame, weights: tuple[int, ...], share: tuple[int, i
     rest = num * all_size - den * F.sum(F.when(F.col("held"), F.col("limit")).otherwise(0)).over(total)
     rest_w = den * F.sum(F.when(F.col("held"), 0).otherwise(F.col("w"))).over(total)
     target = F.when(F.col("held"), F.col("limit").cast("double")).otherwise((F.col("w") * rest).cast("double") / rest_w)
-    return per.withColumn("target", target).select("source", "source_size", "docs", "weight_sum", "target")
+    return per.withColumn("target", target).select("source", "source_size", "target")
+
+
+def in_ranges(base: DataFrame, range_rows: int) -> DataFrame:
+    """The stored rows with ``range``, a number that grows with (source, key, id, tie), over about ``range_rows`` rows each.  A place in
+    the stored table ends the order, so that copies of one row are cut too.  Range bounds are sampled, so the result is stored."""
+    ranges = max(1, -(-base.count() // range_rows))
+    order = [F.col("source").asc_nulls_last(), "key", "id", "tie", "place"]
+    return materialise(base.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(ranges, *order)
+                       .withColumn("range", F.spark_partition_id()), "ranges")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -69,18 +78,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         weight.alias("weight"), u.alias("u"), F.md5(text.cast("binary")).alias("tie"))
         .select("id", "source", "size", "weight", (-F.log("u") / F.col("weight")).alias("key"), "tie"), "mix")
-    per = (base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"),
-                                      F.sum(F.round(F.col("weight") * 1e6).cast("long")).alias("weight_sum")))
-    per = materialise(source_targets(per, weights, share, cap), "targets")
-    rows = base.join(per.withColumnRenamed("source", "of"), base["source"].eqNullSafe(F.col("of"))).drop("of")
-    # keys are about exponential with the mean weight: their distribution function deals them evenly
-    place = 1 - F.exp(-F.col("key") * (F.col("weight_sum") / 1e6 / F.col("docs")))
-    rows = rows.withColumn("range", F.floor(place * F.ceil(F.col("docs") / F.lit(range_rows))).cast("long"))
+    per = materialise(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "targets")
+    rows = in_ranges(base, range_rows)
+    rows = rows.join(per.withColumnRenamed("source", "of"), rows["source"].eqNullSafe(F.col("of"))).drop("of")
     order = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
     sums = sums.withColumn("offset", F.coalesce(F.sum("in_range").over(order), F.lit(0))).select(
         F.col("source").alias("s"), F.col("range").alias("r"), "offset")
-    inside = Window.partitionBy("source", "range").orderBy("key", "id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "range").orderBy("key", "id", "tie", "place").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(sums, rows["source"].eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     epochs = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0))
