@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import warc_segments as warc
 from tidewatch.llm.mixing import mix_sources
-from tidewatch.llm.url_words import judge_urls, segment
+from tidewatch.llm.url_words import SEEDS, judge_urls, labels_of, segment
 from tidewatch.llm.zstd_secrets import novelty, redact, scan_secrets
 
 SECRET = "Zk9vQ2x7Lr4TnW8yHs3Bd6"
@@ -141,7 +141,6 @@ def test_urls(spark, sf):
         host, path, rule, verdict = brute_url(u)
         assert (got[k].host, got[k].path, got[k].rule) == (host, path, rule), u
         assert got[k].verdict == (verdict or ("block" if got[k].score > 0 else "allow"))
-    assert got[11].verdict == got[12].verdict == "block" and got[13].verdict == "allow"
     assert got[12].words == ["cheap", "pills"]
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     for r in judge_urls(spark, pages).join(pages.select("page_id", "url"), "page_id").collect():
@@ -158,7 +157,7 @@ def test_urls_count_rare_words(spark):
     df = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(pages)], "page_id long, url string, html string")
     got = {r.page_id: r for r in judge_urls(spark, df).collect()}
     assert got[0].words == ["zanzibar", "kodiak"] and got[1].words == ["kodiak", "zanzibar"]
-    tokens = {k: [*r.words, *re.findall("[a-z0-9]+", r.path)] for k, r in got.items()}
+    tokens = {k: [t for t in (*r.words, *re.findall("[a-z0-9]+", r.path)) if t not in SEEDS] for k, r in got.items()}
     n = [{}, {}]
     for k, ts in tokens.items():
         for t in ts:
@@ -170,6 +169,41 @@ def test_urls_count_rare_words(spark):
         assert abs(got[k].score - score) < 1e-6 * max(1, abs(score))
 
 
+def test_urls_are_judged_by_the_words_around_the_seeds(spark):
+    bad = [f"http://lucky{k}.org/poker/winbig/now{k % 7}" for k in range(60)] + [f"http://site{k}.org/casino/winbig/" for k in range(60)]
+    good = [f"http://site{k}.org/garden/roses/{k % 9}" for k in range(150)] + ["http://library.org/garden/roses/poker"]
+    asked = ["http://elsewhere.org/winbig/", "http://elsewhere.org/garden/roses/bingo", "http://elsewhere.org/winbig/garden/",
+             "http://elsewhere.org/winbig/winbig/winbig/garden/", "http://winbig/"]
+    df = spark.createDataFrame([(k, u, "win big roses garden") for k, u in enumerate([*asked, *bad, *good])], "page_id long, url string, html string")
+    got = {r.page_id: r for r in judge_urls(spark, df, rules=()).collect()}
+    assert got[0].verdict == "block"  # no seed, but what stands beside seeds
+    assert got[1].verdict == "allow" and got[len(asked) + len(bad) + len(good) - 1].verdict == "allow"  # a seed among good words
+    assert got[3].score > got[2].score  # a word counts as often as it occurs
+    assert got[4].words == ["win", "big"] and labels_of("a-b.c_d.org") == ["a", "b", "c", "d"] and labels_of("") == [""]
+    held = [got[k] for k in range(len(asked), len(got))]
+    assert sum((r.verdict == "block") == (k < len(bad)) for k, r in enumerate(held)) >= 0.95 * len(held)
+
+
+def test_mixing_ranges_hold_few_rows_whatever_the_weights(spark):
+    from tidewatch.llm.mixing import in_ranges
+    rows = spark.range(60_000).selectExpr("id", "case when id % 3 = 0 then 'hot' when id % 7 = 0 then null else 's' end AS source", "1L AS size",
+                                          "case when id % 2 = 0 then -ln(rand(1)) / 0.05 else -ln(rand(2)) / 0.9 end AS key", "'t' AS tie")
+    same = spark.range(20_000).selectExpr("5L AS id", "'hot' AS source", "1L AS size", "0.5D AS key", "'t' AS tie")
+    from tidewatch.llm.common import materialise
+    base = materialise(rows.unionByName(same), "test")
+    out = in_ranges(base, 4096)
+    sizes = [r["count"] for r in out.groupBy("range").count().collect()]
+    assert sum(sizes) == 80_000 and max(sizes) < 3 * 4096 and len(sizes) == 20
+    order = [(r["range"], r["source"] is None, r["source"] or "", r["key"]) for r in out.collect()]
+    order.sort(key=lambda r: r[0])
+    ends = {}
+    for n, *k in order:
+        lo, hi = ends.get(n, (k, k))
+        ends[n] = (min(lo, k), max(hi, k))
+    spans = [ends[n] for n in sorted(ends)]
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_viterbi_splits_into_the_cheapest_words():
     cost = {"cheap": 3.0, "pills": 4.0, "che": 2.5, "appills": 9.0}
     assert segment("cheappills", cost, 10) == ["cheap", "pills"]

@@ -1,9 +1,10 @@
 """URL filter: rules first, then words inside host names.
 
 Host labels are split into words by a unigram Viterbi search; the unigram counts come from the text of all
-pages.  A multinomial naive Bayes model then scores the words of host and path.  Its
-training labels are the pages themselves: a url with a word of the seed list is an example of an unwanted one, all others are
-examples of wanted ones.  The counts cover all pages and all words.
+pages.  A multinomial naive Bayes model then scores the words of host and path, each as often as it
+occurs.  Its training labels are the pages themselves: a url with a word of the seed list is an example of an unwanted one, all others are
+examples of wanted ones.  The seeds label only: they are no features, so a url is judged by the words around them,
+and one without any may be blocked.  The counts cover all pages and all words.
 
 Neither table of counts leaves Spark.  Hosts and urls are dealt to blocks; a block gets the counts of the words
 that may be in its hosts, and the odds of its tokens, each once.
@@ -54,8 +55,9 @@ def matching_rule(host: str, path: str, rules) -> tuple[Column, Column]:
 
 
 def labels_of(host: str) -> list[str]:
-    """Parts of a host that are split into words."""
-    return host.replace("_", "-").replace("-", ".").split(".")[:-1]
+    """Parts of a host that are split into words: all but the top domain, where there is more."""
+    sites = host.split(".")
+    return ".".join(sites[:-1] if len(sites) > 1 else sites).replace("_", "-").replace("-", ".").split(".")
 
 
 def possible_words(host: str) -> set[str]:
@@ -122,9 +124,11 @@ def judge_urls(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", u
     known = hosts.mapInPandas(pieces, "block long, word string").distinct().join(number, "word")
     hosts = materialise(hosts.groupBy("block").cogroup(known.groupBy("block"))
                         .applyInPandas(split, "host string, words array<string>"), "words")
-    tokens = F.array_distinct(F.concat("words", F.regexp_extract_all(_lower_ascii(F.col("path")), F.lit(r"[a-z0-9]+"), F.lit(0))))
+    tokens = F.concat("words", F.regexp_extract_all(_lower_ascii(F.col("path")), F.lit(r"[a-z0-9]+"), F.lit(0)))
+    listed = F.array(*map(F.lit, seeds)).cast("array<string>")
     told = materialise(urls.join(hosts, "host").withColumn("tokens", tokens)
-                       .withColumn("bad", F.arrays_overlap("tokens", F.array(*map(F.lit, seeds))))
+                       .withColumn("bad", F.exists("tokens", lambda t: F.array_contains(listed, t)))
+                       .withColumn("tokens", F.filter("tokens", lambda t: ~F.array_contains(listed, t)))
                        .withColumn("row", F.monotonically_increasing_id()), "urls")
     classes = {r["bad"]: r["count"] for r in told.groupBy("bad").count().collect()}
     seen = materialise(told.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(
