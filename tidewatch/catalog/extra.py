@@ -195,7 +195,7 @@ def q_cv(spark, sf):
 @register("kmeans_elbow", "K11 L7")
 def q_elbow(spark, sf):
     emb = as_vector(read_table(spark, sf, "embeddings"), "embedding")
-    rows = K.elbow(emb, ks=range(2, 6), n_init=2, sample_size=3000)
+    rows = K.elbow(emb, n_init=3)
     return spark.createDataFrame([(r["k"], r["inertia"], r["silhouette"]) for r in rows],
                                  "k int, inertia double, silhouette double")
 

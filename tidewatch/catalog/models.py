@@ -101,7 +101,7 @@ def q_gmm(spark, sf):
 @register("gmm_order_selection", "K12")
 def q_gmm_bic(spark, sf):
     fit, _, _ = _syscall_features(spark, sf)
-    rows = D.gmm_order_selection(fit, ks=range(2, 5))
+    rows = D.gmm_order_selection(fit)
     return spark.createDataFrame([(r["k"], float(r["bic"]), float(r["aic"])) for r in rows],
                                  "k int, bic double, aic double")
 
@@ -191,7 +191,7 @@ def q_training_job(spark, sf):
     from ..session import scratch_path
     ne = A.network_events(spark, sf)
     out = os.path.join(scratch_path(spark, "models"), uuid.uuid4().hex)
-    return S.training_job(ne, out, stage1_overrides=CHECK_TREES, stage2_overrides=CHECK_TREES, n_boot=200)
+    return S.training_job(ne, out, stage1_overrides=CHECK_TREES, stage2_overrides=CHECK_TREES)
 
 
 @register("pca_spectrum", "I17 F3")
