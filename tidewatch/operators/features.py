@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
-from ..plans.ordered import exact_quantiles
+from ..plans.ordered import histogram_quantiles
 
 # Fixed values of the reference's preprocessors.
 FLOW_CATEGORICAL = ["proto", "service", "state"]
@@ -148,9 +148,10 @@ def impute_scale_stats(df: DataFrame, num: Sequence[str], cat: Sequence[str], sc
         return df.select(F.inline(F.array(*items))).where(F.col("value").isNotNull())
 
     if num:
+        probs = [0.25, 0.5, 0.75] if scaler == "robust" else [0.5]
         base = melt(num)
         q = {(r["column_name"], r["p"]): r["q"]
-             for r in exact_quantiles(base, "value", [0.25, 0.5, 0.75], ["column_name"]).collect()}
+             for r in histogram_quantiles(base, "value", probs, "column_name").collect()}
         fill.update({c: q.get((c, 0.5)) for c in num})
         nulls = df.agg(*[F.count_if(F.col(f"`{c}`").isNull() | F.isnan(F.col(f"`{c}`").cast("double")))
                          .alias(f"n{i}") for i, c in enumerate(num)]).first()
@@ -158,7 +159,7 @@ def impute_scale_stats(df: DataFrame, num: Sequence[str], cat: Sequence[str], sc
         data = melt(num, fill) if has_null else base
         if has_null and scaler == "robust":
             q = {(r["column_name"], r["p"]): r["q"]
-                 for r in exact_quantiles(data, "value", [0.25, 0.5, 0.75], ["column_name"]).collect()}
+                 for r in histogram_quantiles(data, "value", probs, "column_name").collect()}
         mom = {r["column_name"]: (r["mu"], r["sd"]) for r in data.groupBy("column_name").agg(
             F.avg("value").alias("mu"), F.stddev_pop("value").alias("sd")).collect()}
         for c in num:
@@ -323,7 +324,7 @@ def fill_values(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
     from .profile import melt
     out = None
     if numeric:
-        q = exact_quantiles(melt(df, numeric), "value", [0.5], ["column_name"])
+        q = histogram_quantiles(melt(df, numeric), "value", [0.5], "column_name")
         out = q.select("column_name", F.lit("numeric").alias("kind"), F.col("q").alias("median"),
                        F.lit(None).cast("string").alias("mode"))
     if categorical:
@@ -342,10 +343,10 @@ def scaler_stats(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
     """I7/I8 as a DataFrame: mean, population std (constant → 1),
     median and IQR (constant → 1) per column."""
     from .profile import melt
-    from ..plans.ordered import exact_quantiles_wide
+    from ..plans.ordered import histogram_quantiles_wide
     m = melt(df, numeric).where(F.col("value").isNotNull() & ~F.isnan("value"))
     mom = m.groupBy("column_name").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
-    q = exact_quantiles_wide(m, "value", {"q1": .25, "median": .5, "q3": .75}, ["column_name"])
+    q = histogram_quantiles_wide(m, "value", {"q1": .25, "median": .5, "q3": .75}, "column_name")
     j = mom.join(q, "column_name")
     iqr = F.col("q3") - F.col("q1")
     return j.select("column_name", "mean",

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import round_ratio
-from ..plans.ordered import exact_quantiles, exact_quantiles_wide, running_sum
+from ..plans.ordered import (exact_quantiles, exact_quantiles_wide, histogram_quantiles,
+                             histogram_quantiles_wide, running_sum)
 
 
 def melt(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -41,7 +42,7 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"), _skew_corrected(F.col("value")).alias("skew"))
-    q = exact_quantiles_wide(m, "value", {"p25": .25, "p50": .5, "p75": .75}, ["column_name"])
+    q = histogram_quantiles_wide(m, "value", {"p25": .25, "p50": .5, "p75": .75}, "column_name")
     return mom.join(q, "column_name", "left").select(
         "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max", "skew")
 
@@ -57,13 +58,13 @@ def percentile_summary(df: DataFrame, cols: Sequence[str],
                        probs: dict[str, float] | None = None) -> DataFrame:
     """Chosen percentiles per column (default p50/p90/p95/p99)."""
     probs = probs or {"p50": .5, "p90": .9, "p95": .95, "p99": .99}
-    return exact_quantiles_wide(melt(df, cols), "value", probs, ["column_name"])
+    return histogram_quantiles_wide(melt(df, cols), "value", probs, "column_name")
 
 
 def outlier_share(df: DataFrame, cols: Sequence[str], p: float = 0.99) -> DataFrame:
     """Percent of rows above the column's p-quantile (2 dp)."""
     m = melt(df, cols)
-    q = exact_quantiles(m, "value", [p], ["column_name"]).select("column_name", F.col("q").alias("thr"))
+    q = histogram_quantiles(m, "value", [p], "column_name").select("column_name", F.col("q").alias("thr"))
     j = m.join(q, "column_name")   # one row per column: broadcast by size
     g = j.groupBy("column_name").agg(F.count_if(F.col("value") > F.col("thr")).alias("n_above"),
                                 F.count(F.lit(1)).alias("n"), F.first("thr").alias("threshold"))

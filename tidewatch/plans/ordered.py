@@ -20,6 +20,7 @@ so a heavily repeated value collapses into one row before any shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -136,6 +137,75 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                       (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias(out_col))
 
 
+def histogram_quantiles(df: DataFrame, value: str, probs: Sequence[float], group_col: str, prob_col: str = "p",
+                        out_col: str = "q", bins: int = 1024, scans: int = 4, few: int = 4096) -> DataFrame:
+    """:func:`exact_quantiles` for few groups (columns of a table) over many rows, without a shuffle of the rows.
+
+    Each scan counts the values of the stretches that hold a wanted rank into ``bins`` bins, map-side, and keeps of every bin
+    its count, least and largest value; the bins that hold the ranks are the next scan's stretches.  A stretch of one
+    value is done.  A stretch of at most ``few`` values, or left after ``scans`` scans, or without a finite width, is
+    fetched: only its values are shuffled, counted and located by a blocked running count.  The driver gets at most
+    ``bins`` rows a stretch, and there are at most 2 · |probs| stretches a group.
+    """
+    spark, v = df.sparkSession, F.col(value).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(F.col(group_col).alias("_g"), v.alias("_v"))
+    open_, found, size = [], {}, {}
+    for r in rows.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect():
+        size[r["_g"]] = r["n"]
+        wanted = sorted({k for p in probs for k in (math.floor(p * (r["n"] - 1)), math.ceil(p * (r["n"] - 1)))})
+        open_.append((r["_g"], r["lo"], r["hi"], 0, r["n"], wanted))
+    kind = df.schema[group_col].dataType.simpleString()
+
+    def inside(stretches: list[tuple]) -> DataFrame:
+        table = spark.createDataFrame([(g, i, lo, hi, before, wanted) for i, (g, lo, hi, before, _, wanted) in enumerate(stretches)],
+                                      f"_g {kind}, _id int, _lo double, _hi double, _before long, _wanted array<long>")
+        return (rows.join(F.broadcast(table), rows["_g"].eqNullSafe(table["_g"]))
+                .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))).drop("_g"))
+
+    fetch = []
+    for scan in range(scans + 1):
+        split = []
+        for s in open_:
+            g, lo, hi, _, n, wanted = s
+            if lo == hi:
+                found.update({(g, k): lo for k in wanted})
+            else:
+                (fetch if n <= few or scan == scans or not math.isfinite(hi - lo) else split).append(s)
+        if not split:
+            break
+        at = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
+        counted = inside(split).groupBy("_id", at.alias("_bin")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect()
+        open_, before = [], {}
+        for r in sorted(counted, key=lambda r: (r["_id"], r["_bin"])):
+            g, _, _, start, _, wanted = split[r["_id"]]
+            first = before.get(r["_id"], start)
+            before[r["_id"]] = first + r["n"]
+            held = [k for k in wanted if first <= k < first + r["n"]]
+            if held:
+                open_.append((g, r["lo"], r["hi"], first, r["n"], held))
+    if fetch:
+        counts = inside(fetch).groupBy("_id", "_before", "_wanted", "_v").agg(F.count(F.lit(1)).alias("_n"))
+        run = running_sum(counts, "_v", ["_n"], ["_id", "_before", "_wanted"])
+        end = F.col("_before") + F.col("cum__n")
+        hit = F.filter("_wanted", lambda k: (k >= end - F.col("_n")) & (k < end))
+        for r in run.select("_id", "_v", F.explode(hit).alias("k")).collect():  # a row per wanted rank
+            found[fetch[r["_id"]][0], r["k"]] = r["_v"]
+    out = []
+    for g, n in size.items():
+        for p in probs:
+            at = p * (n - 1)
+            lo, hi = found[g, math.floor(at)], found[g, math.ceil(at)]
+            out.append((g, float(p), lo + (hi - lo) * (at - math.floor(at)) if hi != lo else lo))
+    return spark.createDataFrame(out, f"{group_col} {kind}, {prob_col} double, {out_col} double")
+
+
+def histogram_quantiles_wide(df: DataFrame, value: str, probs: dict[str, float], group_col: str) -> DataFrame:
+    """:func:`histogram_quantiles` as columns: ``probs`` maps output name → probability."""
+    long = histogram_quantiles(df, value, list(dict.fromkeys(probs.values())), group_col)
+    return long.groupBy(group_col).agg(*[F.max(F.when(F.col("p") == F.lit(float(p)), F.col("q"))).alias(name) for name, p in probs.items()])
+
+
 def exact_quantiles_wide(df: DataFrame, value: str, probs: dict[str, float],
                          group_cols: Sequence[str] = ()) -> DataFrame:
     """Quantiles as columns: ``probs`` maps output name → probability."""
