@@ -184,6 +184,15 @@ def histogram_quantiles(df: DataFrame, value: str, probs: Sequence[float], group
             held = [k for k in wanted if first <= k < first + r["n"]]
             if held:
                 open_.append((g, r["lo"], r["hi"], first, r["n"], held))
+    small, fetch = [s for s in fetch if s[4] <= few], [s for s in fetch if s[4] > few]
+    if small:  # at most ``few`` values a stretch
+        first = {}
+        counts = inside(small).groupBy("_id", "_v").agg(F.count(F.lit(1)).alias("n")).collect()
+        for r in sorted(counts, key=lambda r: (r["_id"], r["_v"])):
+            g, _, _, start, _, wanted = small[r["_id"]]
+            lo = first.get(r["_id"], start)
+            first[r["_id"]] = lo + r["n"]
+            found.update({(g, k): r["_v"] for k in wanted if lo <= k < lo + r["n"]})
     if fetch:
         counts = inside(fetch).groupBy("_id", "_before", "_wanted", "_v").agg(F.count(F.lit(1)).alias("_n"))
         run = running_sum(counts, "_v", ["_n"], ["_id", "_before", "_wanted"])
