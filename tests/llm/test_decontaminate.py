@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 
+from tidewatch.llm import decontaminate as D
 from tidewatch.llm.decontaminate import FMIndex, decontaminate
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -86,3 +87,16 @@ def test_index_locates_every_position():
     text = np.r_[rnd.integers(0, 4, 400), 0]
     index = FMIndex(text, 3)
     assert sorted(index.locate(np.arange(index.n)).tolist()) == list(range(len(text)))
+
+
+def test_a_window_of_many_items_and_documents(spark, monkeypatch):
+    """Owners are looked up once per set of phrases; results come in pieces of a bounded number of item ids."""
+    opening = "one two three four five six seven eight nine ten"
+    items = [(k, f"{opening} item{k}") for k in range(300)]
+    docs = [(k, f"doc {k} begins {opening} and ends {opening}") for k in range(300)] + [(900, f"{opening} item7"), (901, "clean")]
+    found = D.Phrases([str(i) for i, _ in items], [t.encode() for _, t in items], 10)
+    n, runs, spans, has = D.shard_hits([t.encode() for _, t in docs], found)
+    assert [len(h) for h in has] == [1] * 300 + [2, 0] and len(found.owners(has[0])) == 300
+    monkeypatch.setattr(D, "PIECE_ITEMS", 1000)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((tuple(r[c] for c in COLS) for r in decontaminate(spark, d, b).collect()), key=str) == brute(docs, items)

@@ -12,18 +12,20 @@ parts of a checked size.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept_schema, kept_struct, prepare, utf8
+from .common import drop, kept_schema, kept_struct, materialise, prepare, utf8
 from .hashing import PrefixHash, blocks, byte_runs, join_bytes
 
 SHARD_BYTES = 3 << 20
 SAMPLE = 16  # every 16th position of a stretch keeps its text position
 PART_WORDS = 1 << 21  # benchmark words sent to the executors at once
+PIECE_ITEMS = 1 << 18  # item ids of one batch of results
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -45,21 +47,24 @@ class Phrases:
     def __init__(self, ids: list[str], bodies: list[bytes], window: int):
         at, start, _, name = words_of(bodies)
         self.vocabulary = np.unique(name)
-        symbol = np.searchsorted(self.vocabulary, name) + 1
+        symbol = np.searchsorted(self.vocabulary, name).astype(np.int32) + np.int32(1)
         cut = np.searchsorted(start, at)
-        found: dict[tuple, list[int]] = {}
-        for i in range(len(ids)):
-            seq = symbol[cut[i]:cut[i + 1]]
-            for p in range(max(1, len(seq) - window + 1) if len(seq) else 0):
-                found.setdefault(tuple(seq[p:p + window].tolist()), []).append(i)
+        size = np.diff(cut)
+        item, place = _ragged(np.zeros(len(ids), np.int64), np.where(size, np.maximum(size - window + 1, 1), 0))
+        k = np.arange(window)
+        inside = place[:, None] + k < size[item][:, None]  # an item of fewer words is one window, padded with zeros
+        rows = symbol[np.where(inside, cut[item][:, None] + place[:, None] + k, 0)] * inside if len(item) else np.zeros((0, window), np.int32)
         self.ids = np.array(ids, object)
-        self.length = np.array([len(k) for k in found], np.int64)
-        self.symbols = np.zeros((len(found), window), np.int64)
-        for k, seq in enumerate(found):
-            self.symbols[k, :len(seq)] = seq
-        owners = [np.unique(v) for v in found.values()]
-        self.owner_at = np.r_[0, np.cumsum([len(o) for o in owners])].astype(np.int64)
-        self.owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+        self.symbols, which = np.unique(rows, axis=0, return_inverse=True)
+        self.length = (self.symbols > 0).sum(1)
+        pair = np.unique(which.ravel() * (len(ids) + 1) + item)  # (phrase, owner), each once
+        self.owner = pair % (len(ids) + 1)
+        self.owner_at = np.searchsorted(pair // (len(ids) + 1), np.arange(len(self.length) + 1))
+
+    def owners(self, phrases: np.ndarray) -> np.ndarray:
+        """Items that have any of the phrases."""
+        which, at = _ragged(self.owner_at[phrases], np.diff(self.owner_at)[phrases])
+        return np.unique(self.owner[at])
 
 
 def _ragged(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,11 +161,11 @@ class FMIndex:
 
 
 def shard_hits(bodies: list[bytes], phrases: Phrases) -> tuple[np.ndarray, list, list, list]:
-    """Per document of the shard: number of words, hit word runs, their byte spans, and item numbers."""
+    """Per document of the shard: number of words, hit word runs, their byte spans, and the phrases it has, each once and sorted."""
     at, start, end, name = words_of(bodies)
     cut = np.searchsorted(start, at)
     n_words, docs = np.diff(cut), len(bodies)
-    none = n_words, [[] for _ in range(docs)], [[] for _ in range(docs)], [[] for _ in range(docs)]
+    none = n_words, [[] for _ in range(docs)], [[] for _ in range(docs)], [np.zeros(0, np.int64)] * docs
     if not len(phrases.length) or not len(name):
         return none
     place = np.minimum(np.searchsorted(phrases.vocabulary, name), len(phrases.vocabulary) - 1)
@@ -183,10 +188,10 @@ def shard_hits(bodies: list[bytes], phrases: Phrases) -> tuple[np.ndarray, list,
     np.add.at(cover, first + phrases.length[phrase], -1)
     hit = np.cumsum(cover[:-1]) > 0
     doc = np.searchsorted(cut, first, side="right") - 1
-    k, owner = _ragged(phrases.owner_at[phrase], np.diff(phrases.owner_at)[phrase])
-    pairs = np.unique(doc[k] * (len(phrases.ids) + 1) + phrases.owner[owner])
-    for p in pairs.tolist():
-        none[3][p // (len(phrases.ids) + 1)].append(p % (len(phrases.ids) + 1))
+    pairs = np.unique(doc * len(phrases.length) + phrase)  # (document, phrase): owners are looked up per document
+    doc = pairs // len(phrases.length)
+    for d, own in zip(np.unique(doc).tolist(), np.split(pairs % len(phrases.length), np.flatnonzero(np.diff(doc)) + 1)):
+        none[3][d] = own
     for d in np.unique(doc).tolist():
         a, b = byte_runs(hit[cut[d]:cut[d + 1]])
         none[1][d] = np.stack((a, b), 1).tolist()
@@ -235,10 +240,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id
         own = items.where(F.pmod(F.xxhash64("id", "body"), F.lit(parts)) == part).distinct().collect()
         return spark.sparkContext.broadcast(Phrases([r["id"] for r in own], [bytes(r["body"]) for r in own], window))
 
-    def judged(n, runs, spans, found):
+    def listed(found):
+        """Item count, sorted ids and their digest."""
         found = sorted({x for x in found if x is not None}, key=lambda s: s.encode())
+        return len(found), found, hashlib.sha256(",".join(found).encode()).hexdigest()
+
+    def judged(n, runs, spans, items):
         hit = sum(b - a for a, b in runs)
-        return (n, hit, len(found), found, hashlib.sha256(",".join(found).encode()).hexdigest(), hit > 0, spans)
+        return (n, hit, *items, hit > 0, spans)
 
     names = [c.split()[0] for c in found_columns.split(", ")]
 
@@ -248,44 +257,62 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id
     def named(df):
         return df.select(F.col("id").alias(id_col), *names, *kept)
 
-    def search(batches, sent):
+    def search(batches, sent, of):
+        """Pieces of documents with their hits and ``of`` the ids of their items, asked for once per set of phrases.
+        A piece ends where its documents have ``PIECE_ITEMS`` ids, so that an item set which many documents share stays small."""
         part = sent.value
         for pdf in batches:
             bodies = list(pdf["body"])
             for lo, hi in blocks(bodies, SHARD_BYTES):
-                n, runs, spans, found = shard_hits(bodies[lo:hi], part)
-                yield pdf.iloc[lo:hi], n.tolist(), runs, spans, [part.ids[f].tolist() for f in found]
+                n, runs, spans, has = shard_hits(bodies[lo:hi], part)
+                known, first, items, held = {}, 0, [], 0
+                for k, own in enumerate(has):
+                    name = own.tobytes()
+                    if name not in known:
+                        ids = part.ids[part.owners(own)].tolist()
+                        known = known if held else {}
+                        known[name] = len(ids), of(ids)
+                    held += known[name][0]
+                    items.append(known[name][1])
+                    if held >= PIECE_ITEMS or k == len(has) - 1:
+                        cut = slice(first, k + 1)
+                        yield pdf.iloc[lo:hi].iloc[cut], n[cut].tolist(), runs[cut], spans[cut], items
+                        first, items, held = k + 1, [], 0
 
     if parts == 1:
         sent = phrases(0)
 
         def whole(batches):
-            for pdf, *rest in search(batches, sent):
+            for pdf, *rest in search(batches, sent, listed):
                 yield beside(pdf, [judged(*x) for x in zip(*rest)])
 
         return named(rows.mapInPandas(whole, result))
 
     keyed = rows.withColumn("key", F.xxhash64("body")).withColumn("size", F.octet_length("body"))
 
-    def partial(sent):
+    def partial(part: int) -> DataFrame:
+        """Hits of one part, written, so that only one part is on the executors at a time."""
+        sent = phrases(part)
+
         def run(batches):
-            for pdf, n, runs, spans, found in search(batches, sent):
-                out = pd.DataFrame({"key": pdf["key"], "size": pdf["size"], "runs": runs, "spans": spans, "found": found})
+            for pdf, _, runs, _, found in search(batches, sent, list):
+                out = pd.DataFrame({"key": pdf["key"], "size": pdf["size"], "runs": runs, "found": found})
                 yield out[[bool(r) for r in runs]]
-        return (keyed.select("key", "size", "body")
-                .mapInPandas(run, "key long, size int, runs array<array<long>>, spans array<array<long>>, found array<string>")
-                .distinct())
+        hits = keyed.select("key", "size", "body").mapInPandas(run, "key long, size int, runs array<array<long>>, found array<string>")
+        out = materialise(hits.distinct(), "hits")
+        sent.destroy()
+        return out
 
-    found = partial(phrases(0))
-    for part in range(1, parts):
-        found = found.unionByName(partial(phrases(part)))
-    found = found.groupBy("key", "size").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("runs", "spans", "found")))
+    hits = [partial(part) for part in range(parts)]
+    found = reduce(DataFrame.unionByName, hits)
+    found = materialise(found.groupBy("key", "size").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("runs", "found"))), "found")
+    drop(*hits)
 
     def finish(batches):
         empty = lambda v: [] if v is None else list(v)
         for pdf in batches:
             n = [len(words_of([b])[1]) for b in pdf["body"]]
-            yield beside(pdf, [judged(k, _union(empty(r)), _words_joined(b, _union(empty(r))), empty(f))
+            yield beside(pdf, [judged(k, _union(empty(r)), _words_joined(b, _union(empty(r))), listed(empty(f)))
                                for k, b, r, f in zip(n, pdf["body"], pdf["runs"], pdf["found"])])
 
     return named(keyed.join(found, ["key", "size"], "left").select("id", "body", *kept, "runs", "found").mapInPandas(finish, result))
