@@ -57,6 +57,20 @@ def test_secrets(spark, sf):
     assert scan_secrets(spark, df.limit(0)).count() == 0
 
 
+def test_novelty_judges_tokens_of_any_letters_on_both_sides(spark):
+    prose = "the people of the town went to the market and the weather was good that day, as it had been all week. " * 4
+    letters, digits, short = "QxZvKjWqYbPfHd", "90718263549081", "x7Kq2Vz9Lm4T"
+    texts = {1: f"{prose}{letters} is the password of the day. {prose}", 2: f"{prose}my login: {digits} {prose}", 3: f"{prose}bearer {short} {prose}",
+             4: f"{prose}the login needs no representation or configuration {prose}", 5: f"{prose}{letters} {prose}",
+             6: f"{prose}secret {letters} then {letters} again {prose}"}
+    rows = {r.doc_id: r for r in scan_secrets(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for k, token in ((1, letters), (2, digits), (3, short)):
+        at = texts[k].index(token)
+        assert rows[k].spans == f"novel:{at}:{at + len(token)}", k
+    assert rows[4].spans == rows[5].spans == ""  # words that prose explains; no sensitive word near
+    assert rows[6].spans.count("novel") == 2  # the copy, which the first explains, is reported with it
+
+
 def test_novelty_orders_random_above_known():
     say = "the secret login of the service is {} and the rest of the sentence follows here"
     known, new = "password_service_default_user", SECRET

@@ -1,10 +1,11 @@
 """Secret scan by compression novelty.
 
 Patterns find the usual shapes (key assignments, access keys, long hex strings).  On top of
-that, every long token with letters and digits in a sensitive context is a candidate; its novelty is the
+that, every token of 12 or more characters near a sensitive word, before or after it, is a candidate; its novelty is the
 number of bytes that zstandard needs more for the surrounding text with the token than without, given a
 dictionary of identifiers.  A token that the context and the dictionary do not explain costs most of
-its entropy, and is reported.
+its entropy, and is reported, at each such place of the text.  Letters alone or digits alone may be a word or a number,
+so they have to cost more.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 SENSITIVE = re.compile(r"passw|secret|token|api_?key|credential|private|bearer|auth|pwd|login|signature", re.I | re.A)
 HINTS = ("pass", "secret", "token", "key", "credential", "private", "bearer", "auth", "pwd", "login", "signature")
 BEFORE, AFTER = 400, 200  # characters of context that the compressor sees
-NEAR = 60  # characters before a candidate in which a sensitive word is looked for
-NOVEL = 0.45  # bytes per character from which a candidate is reported
+NEAR = 60  # characters on either side of a candidate in which a sensitive word is looked for
+NOVEL = 0.45  # bytes per character from which a candidate of letters and digits is reported
+PLAIN_NOVEL = 0.8  # and one without letters or without digits: long words in prose cost 0.5 to 0.75, random strings 0.75 to 1.3
 
 # Words that code and configuration use as identifiers, the priming dictionary.
 IDENTIFIERS = (
@@ -73,13 +75,17 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _mixed(token: str) -> bool:
+    return any(x.isdigit() for x in token) and any(x.isalpha() for x in token)
+
+
 def find_secrets(text: str) -> list[tuple[int, int, int, float]]:
     """(start, kind number, end, novelty) of all spans, by start and kind."""
     low = text.lower()
     base = base_spans(text, low)
     out = [(s, k, e, novelty(text, s, e)) for s, k, e in base]
     if any(h in low for h in HINTS):
-        taken = 0
+        taken, found, known = 0, [], set()
         spans = sorted((s, e) for s, _, e in base)
         for m in CANDIDATE.finditer(text):
             s, e = m.span()
@@ -87,11 +93,13 @@ def find_secrets(text: str) -> list[tuple[int, int, int, float]]:
                 taken += 1
             if taken < len(spans) and spans[taken][0] < e:
                 continue  # a pattern has it already
-            token = m[0]
-            if not any(x.isdigit() for x in token) or not any(x.isalpha() for x in token):
-                continue
-            if SENSITIVE.search(text, max(0, s - NEAR), s) and (v := novelty(text, s, e)) >= NOVEL:
-                out.append((s, 3, e, v))
+            if SENSITIVE.search(text, max(0, s - NEAR), s) or SENSITIVE.search(text, e, e + NEAR):
+                v = novelty(text, s, e)
+                found.append((s, 3, e, v))
+                if v >= (NOVEL if _mixed(m[0]) else PLAIN_NOVEL):
+                    known.add(m[0])
+        # a copy nearby explains a token: what is novel at one place is reported at all of them
+        out += [x for x in found if text[x[0]:x[2]] in known]
     return sorted(out)
 
 
