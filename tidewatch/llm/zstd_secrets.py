@@ -4,8 +4,8 @@ Patterns find the usual shapes (key assignments, access keys, long hex strings).
 that, every token of 12 or more characters near a sensitive word, before or after it, is a candidate; its novelty is the
 number of bytes that zstandard needs more for the surrounding text with the token than without, given a
 dictionary of identifiers.  A token that the context and the dictionary do not explain costs most of
-its entropy, and is reported, at each such place of the text.  Letters alone or digits alone may be a word or a number,
-so they have to cost more.
+its entropy, and is reported.  Letters alone or digits alone may be a word or a number, and a token that comes again nearby
+a name (its copies are left out of the text then), so they have to cost more.
 """
 
 from __future__ import annotations
@@ -56,10 +56,12 @@ def _compressor() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False)
 
 
-def novelty(text: str, start: int, end: int) -> float:
-    """Marginal compressed bytes per character of text[start:end] in its surroundings."""
+def novelty(text: str, start: int, end: int, alone: bool = False) -> float:
+    """Marginal compressed bytes per character of text[start:end] in its surroundings; ``alone`` leaves its copies there out."""
     c = _compressor()
     before, after = text[max(0, start - BEFORE):start], text[end:end + AFTER]
+    if alone:
+        before, after = before.replace(text[start:end], ""), after.replace(text[start:end], "")
     whole = len(c.compress((before + text[start:end] + after).encode()))
     return (whole - len(c.compress((before + after).encode()))) / max(end - start, 1)
 
@@ -85,7 +87,7 @@ def find_secrets(text: str) -> list[tuple[int, int, int, float]]:
     base = base_spans(text, low)
     out = [(s, k, e, novelty(text, s, e)) for s, k, e in base]
     if any(h in low for h in HINTS):
-        taken, found, known = 0, [], set()
+        taken = 0
         spans = sorted((s, e) for s, _, e in base)
         for m in CANDIDATE.finditer(text):
             s, e = m.span()
@@ -94,12 +96,10 @@ def find_secrets(text: str) -> list[tuple[int, int, int, float]]:
             if taken < len(spans) and spans[taken][0] < e:
                 continue  # a pattern has it already
             if SENSITIVE.search(text, max(0, s - NEAR), s) or SENSITIVE.search(text, e, e + NEAR):
-                v = novelty(text, s, e)
-                found.append((s, 3, e, v))
-                if v >= (NOVEL if _mixed(m[0]) else PLAIN_NOVEL):
-                    known.add(m[0])
-        # a copy nearby explains a token: what is novel at one place is reported at all of them
-        out += [x for x in found if text[x[0]:x[2]] in known]
+                copies = text.count(m[0], max(0, s - BEFORE), e + AFTER) > 1
+                v = novelty(text, s, e, copies)
+                if v >= (NOVEL if _mixed(m[0]) and not copies else PLAIN_NOVEL):
+                    out.append((s, 3, e, v))
     return sorted(out)
 
 
