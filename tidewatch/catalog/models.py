@@ -14,6 +14,7 @@ from ..operators import features as FE
 from ..operators import supervised as S
 from ..operators.anomaly import as_vector
 from ..operators.anomaly import compare as C
+from ..operators.anomaly import dbscan as DB
 from ..operators.anomaly import density as D
 from ..operators.anomaly import iforest as I
 from ..operators.anomaly import kmeans as K
@@ -121,19 +122,23 @@ def q_iforest(spark, sf):
                                  "is_anomaly")
 
 
-@register("detector_comparison", "K9 K10 L1 L8")
+@register("detector_comparison", "K5 K9 K10 L1 L8")
 def q_compare(spark, sf):
+    """One row per detector, all five fitted on one frame; a point that DBSCAN predicts into no cluster is flagged."""
+    from pyspark.sql import functions as F
     fit, test, _ = _syscall_features(spark, sf)
-    km = K.fit_kmeans(fit, k=5, n_init=3)
-    gm = D.fit_gmm(fit, k=5)
-    pc = D.fit_pca_detector(fit, n_components=4)
-    it = I.fit_isolation_forest(fit, n_trees=100)
-    scored = km.flag(test).withColumnRenamed("is_anomaly", "f_kmeans").drop("threshold")
+    fitted = C.fit_all(fit, {"kmeans": lambda d: K.fit_kmeans(d, k=5, n_init=3), "gmm": lambda d: D.fit_gmm(d, k=5),
+                             "pca": lambda d: D.fit_pca_detector(d, n_components=4),
+                             "isolation_forest": lambda d: I.fit_isolation_forest(d, n_trees=100),
+                             "dbscan": lambda d: DB.fit_dbscan(d, "record_id", eps=0.5, min_samples=5, counts=False)})
+    km, gm, pc, it, db = (fitted[n] for n in ("kmeans", "gmm", "pca", "isolation_forest", "dbscan"))
+    noise = db.predict(test, "record_id").select("record_id", (F.col("cluster") == -1).cast("int").alias("f_dbscan"))
+    scored = km.flag(test.join(noise, "record_id")).withColumnRenamed("is_anomaly", "f_kmeans").drop("threshold")
     scored = gm.flag(scored).withColumnRenamed("is_anomaly", "f_gmm")
     scored = pc.flag(scored).withColumnRenamed("is_anomaly", "f_pca")
     scored = it.flag(scored).withColumnRenamed("is_anomaly", "f_if")
     return C.compare_flags(scored, "sus", {"kmeans": "f_kmeans", "gmm": "f_gmm", "pca": "f_pca",
-                                           "isolation_forest": "f_if"})
+                                           "isolation_forest": "f_if", "dbscan": "f_dbscan"})
 
 
 @register("detector_report", "K14 K13 L6 L2")
