@@ -178,12 +178,21 @@ def run_ci_bars(runs: DataFrame) -> DataFrame:
         json_double("extra_metrics", "$.k").alias("metric_k"))
 
 
+def left_join_known(left: DataFrame, right: DataFrame, key: str, right_key: str) -> DataFrame:
+    """``left`` left-joined with ``right`` on ``key`` = ``right_key``.  Rows of a NULL key match nothing and stay out of the
+    join: the exchange would send them all to one task."""
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema]
+    joined = left.where(F.col(key).isNotNull()).join(right, F.col(key) == F.col(right_key), "left")
+    return joined.unionByName(left.where(F.col(key).isNull()).select("*", *nothing))
+
+
 def alerts_with_users(alerts: DataFrame, users: DataFrame) -> DataFrame:
     """D3: alerts with the acknowledging user's name (left join; the
-    user dimension is left to AQE to broadcast once measured small)."""
+    user dimension is left to AQE to broadcast once measured small).
+    Most alerts are not acknowledged and need no user."""
     u = users.select(F.col("id").alias("uid"), F.col("username").alias("acknowledged_by_name"),
                      F.col("role").alias("acknowledged_by_role"))
-    return (alerts.join(u, alerts.acknowledged_by == u.uid, "left")
+    return (left_join_known(alerts, u, "acknowledged_by", "uid")
             .select("id", "severity", "status", "acknowledged_by", "acknowledged_by_name",
                     "acknowledged_by_role"))
 
@@ -191,7 +200,7 @@ def alerts_with_users(alerts: DataFrame, users: DataFrame) -> DataFrame:
 def runs_with_creator(runs: DataFrame, users: DataFrame) -> DataFrame:
     """Model runs with their creator (left join)."""
     u = users.select(F.col("id").alias("uid"), F.col("username").alias("creator"))
-    return runs.join(u, runs.created_by == u.uid, "left").select("id", "run_name", "created_by", "creator")
+    return left_join_known(runs, u, "created_by", "uid").select("id", "run_name", "created_by", "creator")
 
 
 def experiment_comparison(runs: DataFrame, dataset: str) -> DataFrame:
