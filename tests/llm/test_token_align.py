@@ -115,3 +115,49 @@ def test_long_slices_by_distinct_ids():
     a, b = np.array([1] * 200 + [2] * 100), np.array([7] * 50 + [8] * 3)
     pairs, links = T.Groups(a, b, [300], [53]).links()
     assert dict(zip(pairs.tolist(), links.tolist())) == {(1 << 32) | 7: 10_000, (1 << 32) | 8: 600, (2 << 32) | 7: 5000, (2 << 32) | 8: 300}
+
+
+def test_work_beside_the_encoders_stays_small(of):
+    import time
+    draw = random.Random(2)
+    words = ["".join(draw.choice("etaoinshrdlucmfw") for _ in range(draw.randint(1, 9))) for _ in range(5000)]
+    texts = [" ".join(draw.choice(words) for _ in range(600)) for _ in range(150)]
+    names = T.names_of(of.a_size, of.b_size)
+
+    def seconds(work):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            for text in texts:
+                work(text)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    def whole_job(text):
+        groups = of.groups(text)
+        groups.links(), groups.text(names, of.a_size, of.b_size)
+
+    assert seconds(whole_job) < 2.4 * seconds(lambda text: (of.a.ids(" " + text), of.b.ids(text)))
+
+
+def test_bytes_are_compared_to_the_last(monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(T, "RUN", 4)
+    of = T.Spelling([b"a", b"bcd", b"", b"\x00\xff"])
+    ids = np.array([0, 1, 2, 3, 1, 2, 2, 2, 2, 0, 3])
+    body = b"abcd\x00\xffbcda\x00\xff"
+    check = lambda ids, body: of.gives(ids, of.ends(ids), np.frombuffer(body, np.uint8))
+    assert of.ends(ids).tolist() == [1, 4, 4, 6, 9, 9, 9, 9, 9, 10, 12] and check(ids, body)
+    assert not any(check(ids, body[:k] + b"?" + body[k + 1:]) for k in range(len(body)))
+    assert not check(ids, body[:-1]) and not check(ids, body + b"a") and not check(ids[:0], body)
+
+
+def test_texts_that_a_tokenizer_does_not_give_back(of, monkeypatch):
+    text = "a\x00b  Ünï " * 30
+    assert len(of.groups(text)) == len(plain(of, text)[2])
+    monkeypatch.setattr(of.b, "ids", lambda t: of.b.model.encode(t)[:-1])
+    assert of.groups(text) is None
+    monkeypatch.setattr(of.b, "ids", lambda t: of.b.model.encode(t)[::-1])
+    assert of.groups(text) is None
+    monkeypatch.setattr(of.b, "ids", lambda t: [])
+    assert of.groups(text) is None

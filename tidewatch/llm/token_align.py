@@ -1,8 +1,8 @@
 """Cross-tokenizer alignment: which tokens of one tokenizer cover the same bytes as which of another.
 
-Both tokenizers cut the same bytes.  The cumulative byte ends of either id list become the keys of a dictionary from end to index; the
-ends that both have, the intersection of the key sets, sorted, slice both id lists into groups over equal byte ranges.
-All pairs of an A and a B token of a group are links.
+Both tokenizers cut the same bytes.  The cumulative byte ends of either id list become the keys of a dictionary from end to index, held
+as an array with a place for every byte end; the ends that both have, the intersection of the key sets, sorted, slice both id lists into
+groups over equal byte ranges.  All pairs of an A and a B token of a group are links.
 
 An id pair's count is the number of documents that hold it linked.  The counts are made from blocks of documents:
 a block counts its own pairs first, the corpus adds up the blocks' counts, and each block gets the totals of
@@ -35,6 +35,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 # Letters whose Unicode class all versions of the pattern's engines agree on: Latin, Greek, Cyrillic, dashes and quotes, kana, Han.
 RARE = re.compile("[^\x00-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5]")
 LARGE = 4096  # links of a slice from which it is expanded by distinct ids
+RUN = 1 << 16  # ids whose bytes are compared at once
 B_BITS = 32  # an id pair is one 64-bit number: the A id, then the B id
 SPACE = "▁"
 _WIDTHS = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}
@@ -48,6 +49,32 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+class Spelling:
+    """The bytes of every id of a vocabulary, end to end in one array."""
+
+    def __init__(self, table: list[bytes]):
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+        self.length = np.array([len(t) for t in table], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def ends(self, ids: np.ndarray) -> np.ndarray:
+        """The cumulative byte ends of a list of ids."""
+        return np.cumsum(self.length[ids])
+
+    def gives(self, ids: np.ndarray, ends: np.ndarray, body: np.ndarray) -> bool:
+        """Whether the joined bytes of the ids, whose ends are given, are ``body``."""
+        if not len(ids) or ends[-1] != len(body):
+            return False
+        for at in range(0, len(ids), RUN):
+            run, to = ids[at:at + RUN], ends[at:at + RUN]
+            n = self.length[run]
+            first = to[0] - n[0]
+            places = np.arange(first, to[-1]) + np.repeat(self.start[run] - (to - n), n)
+            if not np.array_equal(self.flat[places], body[first:to[-1]]):
+                return False
+        return True
+
+
 class ByteLevel:
     """A byte-level BPE file: ids of whole texts, special strings as plain text, and the bytes of every id.
 
@@ -95,17 +122,17 @@ class Pieces:
         self.table = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode()
                       for i, p in ((i, self.model.id_to_piece(i)) for i in range(self.model.get_piece_size()))]
 
-    def ids(self, text: str) -> list[int]:
-        return self.model.encode(text)
+    def ids(self, text: str) -> np.ndarray:
+        return self.model.encode_as_numpy(text)
 
 
 class Groups:
     """The ids of one text and the group ends in both lists: group g holds A ids [ends_a[g], ends_a[g + 1]) and B ids
     [ends_b[g], ends_b[g + 1])."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, ends_a: list[int], ends_b: list[int]):
+    def __init__(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray):
         self.a, self.b = a, b
-        self.ends_a, self.ends_b = np.array([0, *ends_a]), np.array([0, *ends_b])
+        self.ends_a, self.ends_b = (np.concatenate(([0], ends)).astype(np.int64) for ends in (ends_a, ends_b))
 
     def __len__(self) -> int:
         return len(self.ends_a) - 1
@@ -136,7 +163,7 @@ class Groups:
         by = np.argsort(pairs)
         return pairs[by], np.fromiter(found.values(), np.int64, len(found))[by]
 
-    def text(self, names: list[bytes], a_size: int, b_size: int) -> bytes:
+    def text(self, names: np.ndarray, a_size: int, b_size: int) -> bytes:
         """``a1,a2|b1;a3|b2,b3``, joined from the decimal names of :func:`names_of` in their places: before an A id stand the A ids
         before it and the B ids of earlier groups, before a B id the B ids before it and the A ids up to its group."""
         n, m = np.diff(self.ends_a), np.diff(self.ends_b)
@@ -147,13 +174,13 @@ class Groups:
         last = np.zeros(len(self.b), np.int64)
         last[self.ends_b[1:] - 1] = b_size
         order[np.arange(len(self.b)) + np.repeat(self.ends_a[1:], m)] = self.b + last + 2 * a_size
-        return b"".join(map(names.__getitem__, order.tolist()))[:-1]
+        return names[order].tobytes().translate(None, b"\0")[:-1]
 
 
 @lru_cache(maxsize=4)
-def names_of(a_size: int, b_size: int) -> list[bytes]:
-    """Decimal A ids before a comma, before a bar, then B ids before a comma, before a semicolon."""
-    return [b"%d%s" % (i, mark) for size, marks in ((a_size, (b",", b"|")), (b_size, (b",", b";"))) for mark in marks for i in range(size)]
+def names_of(a_size: int, b_size: int) -> np.ndarray:
+    """Decimal A ids before a comma, before a bar, then B ids before a comma, before a semicolon, filled up with zero bytes."""
+    return np.array([b"%d%s" % (i, mark) for size, marks in ((a_size, (b",", b"|")), (b_size, (b",", b";"))) for mark in marks for i in range(size)])
 
 
 class Encoders:
@@ -162,21 +189,21 @@ class Encoders:
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteLevel(a_path), Pieces(b_path)
         self.a_size, self.b_size = len(self.a.table), len(self.b.table)
-        self.a_length, self.b_length = (np.array([len(t) for t in x.table]) for x in (self.a, self.b))
+        self.a_bytes, self.b_bytes = Spelling(self.a.table), Spelling(self.b.table)
 
     def groups(self, text: str) -> Groups | None:
         """The groups of a text; None if it is empty or either list of ids has not the bytes of a space and the text."""
         if not text:
             return None
-        body = (" " + text).encode()
-        a, b = self.a.ids(" " + text), self.b.ids(text)
-        if b"".join(map(self.a.table.__getitem__, a)) != body or b"".join(map(self.b.table.__getitem__, b)) != body:
+        body = np.frombuffer((" " + text).encode(), np.uint8)
+        a, b = np.asarray(self.a.ids(" " + text), np.int64), np.asarray(self.b.ids(text), np.int64)
+        ends_a, ends_b = self.a_bytes.ends(a), self.b_bytes.ends(b)
+        if not self.a_bytes.gives(a, ends_a, body) or not self.b_bytes.gives(b, ends_b, body):
             return None
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        index_a = dict(zip(np.cumsum(self.a_length[a]).tolist(), range(1, len(a) + 1)))
-        index_b = dict(zip(np.cumsum(self.b_length[b]).tolist(), range(1, len(b) + 1)))
-        common = sorted(index_a.keys() & index_b.keys())
-        return Groups(a, b, list(map(index_a.__getitem__, common)), list(map(index_b.__getitem__, common)))
+        index_a, index_b = np.zeros((2, len(body) + 1), np.uint32)  # 0: no end here
+        index_a[ends_a], index_b[ends_b] = np.arange(1, len(a) + 1), np.arange(1, len(b) + 1)
+        common = np.flatnonzero((index_a > 0) & (index_b > 0))
+        return Groups(a, b, index_a[common], index_b[common])
 
 
 @lru_cache(maxsize=4)
